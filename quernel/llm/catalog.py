@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, line_dedup
 from .bpe import bpe_digests
 from .common import table
+from .decontaminate import contaminated
 from .language_id import identify
+from .near_dedup import near_classes
 from .quality import quality_rules
 from .token_counts import token_counts
 from .token_files import token_files
@@ -26,6 +28,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -50,6 +60,8 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_url_filter": op2_url_filter,
     "op3_line_dedup": op3_line_dedup,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_language_id": op8_language_id,
