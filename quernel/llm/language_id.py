@@ -302,3 +302,23 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
             )
 
     return texts_of(docs).mapInArrow(run, SCHEMA).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, field: Field | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more.
+
+    Rejected: null texts, texts without a letter, and texts of which no language
+    has the larger part.  If no row can be learned from, all rows go.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(field or learn(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value) if shared.value else None
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            got = labeller.label(texts) if labeller else [(UNKNOWN, 0.0)] * len(texts)
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got]))
+
+    return docs.mapInArrow(run, docs.schema)
