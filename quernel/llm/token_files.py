@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import rows_by_bytes, scratch_path, small_batches, texts_of
-from .word_pieces import PieceEncoder, segments, tokenizer_path
+from .word_pieces import id_encoder, id_type, segments, tokenizer_path
 
 MAGIC = b"QNLIDS01"
 #: Bits of a level for each key that is left.
@@ -133,10 +133,6 @@ class Index:
         return np.where((record >= 0) & (self.keys[record] == keys), record, -1)
 
 
-def id_type(tokenizer) -> np.dtype:
-    return np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-
 MANIFEST = "shard int, path string, low long, high long, n_docs long, n_ids long, dtype string"
 MANIFEST_TYPES = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
@@ -158,9 +154,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         encoder, keys, lengths, base, stream, fs = None, [], [], None, None, None
         for ids, texts in rows_by_bytes(batches, BATCH_CHARS):
             if encoder is None:
-                encoder = PieceEncoder(tokenizer_path(tokenizer), lambda e: np.array(e.ids, dtype).tobytes())
+                encoder = id_encoder(tokenizer_path(tokenizer))
                 dtype = id_type(encoder.tokenizer)
-                encoder.prime()
                 end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
                 fs, root = pafs.FileSystem.from_uri(path)
                 fs.create_dir(root, recursive=True)

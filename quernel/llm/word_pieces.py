@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import cache
+
+import numpy as np
 
 from .common import Memo
 
@@ -111,3 +114,24 @@ class PieceEncoder:
             young = self.memo.young
             got = [v if v is not None else young[p] if p in young else now[p] for p, v in zip(pieces, got)]
         return got
+
+
+@cache  # once a worker process, which goes from task to task
+def length_encoder(path: str) -> PieceEncoder:
+    """Pieces to numbers of ids."""
+    encoder = PieceEncoder(path, len)
+    encoder.prime()
+    return encoder
+
+
+def id_type(tokenizer) -> np.dtype:
+    return np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+
+@cache
+def id_encoder(path: str) -> PieceEncoder:
+    """Pieces to the bytes of their ids, of type id_type."""
+    encoder = PieceEncoder(path, lambda e: np.array(e.ids, dtype).tobytes())
+    dtype = id_type(encoder.tokenizer)
+    encoder.prime()
+    return encoder
