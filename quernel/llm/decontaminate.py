@@ -1,12 +1,13 @@
 """Benchmark decontamination (operator 5): latent semantic retrieval, then alignment.
 
 Passages are blocks of 32 words and pairs of neighbouring blocks, as TF-IDF
-vectors over the benchmark's informative terms; no other term can add to a
-similarity with an item.  Their singular vectors come from a randomised SVD in
-one distributed pass: every task adds up its share of G * Omega, where G is the
-Gram matrix of all passages, of documents and benchmark alike, and the Nystrom
-formula on the sum gives the leading ones.  Document frequencies are counted
-over all documents.
+vectors over the benchmark's terms; no other term can add to a similarity with
+an item.  Columns are each item's rarest terms, by their document frequencies
+over all documents; an item's own rank decides, so an item that a third of all
+documents hold keeps its columns too.  The passages' singular vectors come from
+a randomised SVD in one distributed pass: every task adds up its share of
+G * Omega, where G is the Gram matrix of all passages, of documents and benchmark
+alike, and the Nystrom formula on the sum gives the leading ones.
 
 A passage is a candidate for an item if their cosine in the latent space reaches
 a threshold.  A candidate counts if the longest common subsequence of words
@@ -24,47 +25,58 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_by_bytes, small_batches, texts_of
+from .common import drop_stored, rows_by_bytes, small_batches, stored, texts_of
 
 RANK, EXTRA, COLUMNS, BLOCK_ITEMS = 256, 16, 1 << 15, 20_000
 WORDS = 32
 #: Cosine of a candidate; share of an item's words in order that tells alone; share that tells together with the answer.
-COSINE, ALONE, WITH_ANSWER, ANSWER = 0.4, 0.7, 0.5, 0.8
-#: A term of more than this share of the items (and of more than two) isn't informative.
-COMMON = 0.02
-MARKS = ".,;:!?\"'()[]«»¿¡"
-GROUP_CHARS, KEPT = 2 << 20, 400_000
+COSINE, ALONE, WITH_ANSWER, ANSWER = 0.5, 0.7, 0.6, 0.9
+#: An answer of fewer words is replaced by so many words at the item's end.
+SHORT = 8
+#: A term of more than this share of the items (and of more than two) isn't informative; rarest terms of an item that are columns.
+COMMON, RAREST = 0.02, 12
+#: A passage has so many of the columns' terms at least, or a third of the terms of the item with the fewest.
+LEAST_TERMS = 3
+GROUP_CHARS = 2 << 20
+#: Columns of a row of partial sums, and groups of tasks that are added up first.
+PART, SALTS = 64, 32
 
 
-def normal(token: str) -> str:
-    """A token without marks around it, lower-cased; a token of marks alone stays."""
-    return token.strip(MARKS).lower() or token
+#: ASCII marks as spaces.
+TABLE = bytes.maketrans(b".,;:!?\"'()[]{}", b"              ")
+
+
+def words_of(text: str) -> list[bytes]:
+    """A text's words, lower-cased, without ASCII marks."""
+    return text.lower().encode().translate(TABLE).split()
 
 
 @dataclass
 class Item:
     item_id: int | None
-    words: list[str]
-    answer: list[str]
+    words: list[bytes]
+    answer: list[bytes]
 
     @classmethod
     def of(cls, item_id: int | None, text: str) -> Item:
         sentences = [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if s]
-        words = [normal(t) for t in text.split()]
-        answer = [normal(t) for t in sentences[-1].split()] if len(sentences) > 1 else words[-5:]
-        return cls(item_id, words, answer)
+        words = words_of(text)
+        answer = words_of(sentences[-1]) if sentences else []
+        return cls(item_id, words, answer if SHORT <= len(answer) < len(words) else words[-SHORT:])
 
 
-def common_length(pattern: list[str], text: list[str]) -> int:
+def common_length(pattern: list[bytes], text: list[bytes]) -> int:
     """Length of the longest common subsequence, by bits of the pattern."""
-    at: dict[str, int] = {}
+    at: dict[bytes, int] = {}
     for i, w in enumerate(pattern):
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << len(pattern)) - 1
@@ -80,16 +92,13 @@ def common_length(pattern: list[str], text: list[str]) -> int:
 class Space:
     """Terms to columns, the columns' weights, and what a search needs of the items."""
 
-    column: dict[str, int]
+    column: dict[bytes, int]
     width: int
     weight: np.ndarray | None = None  # idf
     basis: np.ndarray | None = None  # columns x rank, weighted
     items: list[Item] = field(default_factory=list)
     queries: np.ndarray | None = None  # items x rank, of length 1
-    memo: dict[str, int] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+    least: int = 1
 
     @classmethod
     def of(cls, items: list[Item]) -> Space:
@@ -101,23 +110,14 @@ class Space:
         terms = sorted(kept)
         if len(terms) <= COLUMNS:
             return cls({w: i for i, w in enumerate(terms)}, len(terms), items=items)
-        return cls({w: xxhash.xxh3_64_intdigest(w.encode()) % COLUMNS for w in terms}, COLUMNS, items=items)
-
-    def columns_of(self, tokens: list[str]) -> list[int]:
-        got = list(map(self.memo.get, tokens))
-        if None in got:
-            if len(self.memo) > KEPT:
-                self.memo.clear()
-            for i, v in enumerate(got):
-                if v is None:
-                    got[i] = self.memo[tokens[i]] = self.column.get(normal(tokens[i]), -1)
-        return got
+        return cls({w: xxhash.xxh3_64_intdigest(w) % COLUMNS for w in terms}, COLUMNS, items=items)
 
     def terms(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, position, column) of every informative term."""
+        """(text number, position, column) of every term of a column."""
         owner, place, column = [], [], []
         for n, text in enumerate(texts):
-            got = np.array(self.columns_of(text.split()), np.int64)
+            tokens = words_of(text)
+            got = np.fromiter(map(self.column.get, tokens, repeat(-1)), np.int32, len(tokens))
             at = np.flatnonzero(got >= 0)
             owner.append(np.full(len(at), n))
             place.append(at)
@@ -125,6 +125,20 @@ class Space:
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *owner]), np.concatenate([none, *place]), np.concatenate([none, *column])
 
+    def narrowed(self, frequency: np.ndarray, documents: float) -> tuple[Space, np.ndarray]:
+        """The space of each item's RAREST terms with their idf, and the new column (or -1) of each old one."""
+        chosen = set()
+        for item in self.items:
+            own = sorted({w for w in item.words if w in self.column}, key=lambda w: (frequency[self.column[w]], w))
+            chosen.update(self.column[w] for w in own[:RAREST])
+        lookup = np.full(self.width, -1, np.int64)
+        lookup[sorted(chosen)] = np.arange(len(chosen))
+        column = {w: int(lookup[c]) for w, c in self.column.items() if lookup[c] >= 0}
+        fewest = min(len({w for w in i.words if w in column}) for i in self.items)
+        out = Space(column, len(chosen), items=self.items, least=max(1, min(LEAST_TERMS, fewest // 3)))
+        out.weight = 1 + np.log((1 + documents) / (1 + frequency[sorted(chosen)]))
+        return out, lookup
+
     def passages(self, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the blocks within the terms, and which blocks are followed by the next one of their text."""
         block = place // WORDS
@@ -146,8 +160,11 @@ class Space:
         if not len(owner):
             return []
         rows, start, pair = self.vectors(owner, place, column, self.basis)
-        first = np.concatenate([start, start[pair]])
-        size = np.concatenate([np.full(len(start), WORDS), np.full(len(pair), 2 * WORDS)])
+        count = np.diff(np.append(start, len(column)))
+        full = np.flatnonzero(np.concatenate([count, count[pair] + count[pair + 1]]) >= self.least)
+        rows = rows[full]
+        first = np.concatenate([start, start[pair]])[full]
+        size = np.concatenate([np.full(len(start), WORDS), np.full(len(pair), 2 * WORDS)])[full]
         length = np.linalg.norm(rows, axis=1)
         best: dict[tuple[int, int], list] = {}
         for at in range(0, len(rows), 8192):
@@ -162,7 +179,7 @@ class Space:
         for (t, i), (cosine, spans) in sorted(best.items()):
             item = self.items[i]
             if t not in split:
-                split = {t: [normal(x) for x in texts[t].split()]}
+                split = {t: words_of(texts[t])}
             words, share, answered = split[t], 0.0, False
             for a, b in _joined(spans, len(item.words)):
                 near = words[a:b]
@@ -184,35 +201,56 @@ def _joined(spans: list[tuple[int, int]], around: int) -> Iterator[tuple[int, in
             reach = b
 
 
-def _partials(kind: str, space: Space, omega: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's share of the document frequencies ("df") or of the sketch G * Omega ("sketch"), 64 columns a row."""
-    width = 1 if kind == "df" else omega.shape[1]
-    total = np.zeros((-(-space.width // 64) * 64, width))
-    energy, n = 0.0, 0
+def sketched(space: Space, owner: np.ndarray, place: np.ndarray, column: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """G * Omega for the passages of some texts."""
+    total = np.zeros(omega.shape, np.float64)
+    if not len(owner):
+        return total
+    rows, start, pair = space.vectors(owner, place, column, (omega * space.weight[:, None]).astype(np.float32))
+    # each block takes part by itself and in a pair with each neighbour
+    back = rows[: len(start)].copy()
+    back[pair] += rows[len(start) :]
+    back[pair + 1] += rows[len(start) :]
+    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(column))))
+    order = np.argsort(column, kind="stable")
+    held = column[order]
+    at = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    total[held[at]] = np.add.reduceat(back[of[order]], at, axis=0) * space.weight[held[at], None]
+    return total
+
+
+TERMS = "place array<int>, column array<int>"
+
+
+def _term_table(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in rows_by_bytes(batches, GROUP_CHARS):
-        owner, place, column = space.terms(texts)
-        n += len(texts)
-        if not len(owner):
-            continue
+        owner, place, column = shared.value.terms(texts)
+        cuts = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (place, column)]
+        yield pa.record_batch(lists, ["place", "column"])
+
+
+def _partials(kind: str, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's share of the document frequencies ("df") or of the sketch ("sketch"), PART columns a row."""
+    space, lookup, omega = shared.value
+    width = 1 if kind == "df" else omega.shape[1]
+    total, energy = np.zeros((-(-space.width // PART) * PART, width)), 0.0
+    for batch in batches:
+        lists = batch.column("column")
+        column = lists.flatten().to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())
         if kind == "df":
             seen = np.unique(owner * space.width + column) % space.width
             total[:, 0] += np.bincount(seen, minlength=len(total))
             continue
-        rows, start, pair = space.vectors(owner, place, column, omega * space.weight[:, None])
-        blocks = len(start)
-        # each block takes part by itself and in a pair with each neighbour
-        back = rows[:blocks].copy()
-        back[pair] += rows[blocks:]
-        back[pair + 1] += rows[blocks:]
-        of = np.repeat(np.arange(blocks), np.diff(np.append(start, len(column))))
-        order = np.argsort(column, kind="stable")
-        held = column[order]
-        at = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-        total[held[at]] += np.add.reduceat(back[of[order]], at, axis=0) * space.weight[held[at], None]
+        column = lookup[column]
+        kept = column >= 0
+        owner, place, column = owner[kept], batch.column("place").flatten().to_numpy()[kept], column[kept]
+        total[: space.width] += sketched(space, owner, place, column, omega)
         energy += float((space.weight[column] ** 2).sum())
-    parts = np.flatnonzero(np.abs(total).reshape(-1, 64 * width).any(axis=1))
-    blobs = [total[p * 64 : p * 64 + 64].tobytes() for p in parts]
-    extra = [np.array([n, energy]).tobytes()] if n else []
+    parts = np.flatnonzero(total.reshape(-1, PART * width).any(axis=1))
+    blobs = [total[p * PART : (p + 1) * PART].tobytes() for p in parts]
+    extra = [np.array([energy]).tobytes()] if energy else []
     yield pa.record_batch([pa.array([*parts.tolist(), *[-1] * len(extra)], pa.int32()), pa.array(blobs + extra, pa.binary())], ["part", "sums"])
 
 
@@ -223,22 +261,22 @@ def _added(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([np.asarray(total, np.float64).tobytes()], pa.binary())})
 
 
-def _gathered(docs: DataFrame, kind: str, space: Space, omega: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
-    """The sums over all rows of ``docs``: (columns x width), number of rows, energy."""
-    shared = docs.sparkSession.sparkContext.broadcast((space, omega))
-    partials = docs.mapInArrow(lambda batches: _partials(kind, *shared.value, batches), "part int, sums binary")
-    # a few dozen partial sums are added before those of all tasks meet
-    salted = partials.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+def _gathered(terms: DataFrame, kind: str, space: Space, lookup: np.ndarray | None = None, omega: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """The sums over all rows of a term table: (columns x width), and their energy."""
+    shared = terms.sparkSession.sparkContext.broadcast((space, lookup, omega))
+    partials = terms.mapInArrow(partial(_partials, kind, shared), "part int, sums binary")
+    # a few tasks' partial sums are added before those of all tasks meet
+    salted = partials.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     once = salted.groupBy("part", "salt").applyInArrow(_added, "part int, sums binary")
     width = 1 if kind == "df" else omega.shape[1]
-    total, n, energy = np.zeros((-(-space.width // 64) * 64, width)), 0.0, 0.0
-    for part, sums in once.groupBy("part").applyInArrow(_added, "part int, sums binary").collect():  # COLUMNS / 64 rows at most
+    total, energy = np.zeros((-(-space.width // PART) * PART, width)), 0.0
+    for part, sums in once.groupBy("part").applyInArrow(_added, "part int, sums binary").collect():  # COLUMNS / PART rows at most
         values = np.frombuffer(bytes(sums))
         if part < 0:
-            n, energy = values
+            energy = float(values[0])
         else:
-            total[part * 64 : part * 64 + 64] = values.reshape(64, width)
-    return total[: space.width], float(n), float(energy)
+            total[part * PART : (part + 1) * PART] = values.reshape(PART, width)
+    return total[: space.width], energy
 
 
 def leading(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
@@ -258,27 +296,26 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | None
     items = [i for r in sorted(rows, key=lambda r: (r.item_id is not None, r.item_id, r.text)) if (i := Item.of(r.item_id, r.text)).words]
     if not items:
         return None
-    space = Space.of(items)
-    frequency, n, _ = _gathered(docs, "df", space)
-    space.weight = 1 + np.log((1 + n) / (1 + frequency[:, 0]))
-    owner, place, column = space.terms([" ".join(i.words) for i in items])
-    whole = np.zeros((len(items), space.width))
-    np.add.at(whole, (owner, column), space.weight[column])
+    wide = Space.of(items)
+    shared = docs.sparkSession.sparkContext.broadcast(wide)
+    terms = stored(docs.mapInArrow(partial(_term_table, shared), TERMS), "terms")
+    frequency, _ = _gathered(terms, "df", wide)
+    space, lookup = wide.narrowed(frequency[:, 0], float(terms.count()))
     omega = np.random.default_rng(17).standard_normal((space.width, min(space.width, rank + EXTRA)))
-    sketch, _, energy = _gathered(docs, "sketch", space, omega)
-    own, _, own_energy = _gathered(_as_docs(benchmark), "sketch", space, omega)
+    sketch, energy = _gathered(terms, "sketch", space, lookup, omega)
+    drop_stored(terms)
+    owner, place, column = space.terms([b" ".join(i.words).decode() for i in items])
+    own, own_energy = sketched(space, owner, place, column, omega), float((space.weight[column] ** 2).sum())
     # documents and benchmark have half of the energy each
     basis = leading(sketch / max(energy, 1e-12) + own / max(own_energy, 1e-12), omega, rank)
+    whole = np.zeros((len(items), space.width))
+    np.add.at(whole, (owner, column), space.weight[column])
     space.basis = (basis * space.weight[:, None]).astype(np.float32)
     queries = whole @ basis
     space.queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     return space
 
 
-def _as_docs(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-
-
 def _spaces(docs: DataFrame, benchmark: DataFrame) -> list[Space]:
     blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
     of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
