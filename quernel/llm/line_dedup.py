@@ -21,7 +21,6 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -207,7 +206,7 @@ class LineDedup:
         """Takes documents out again; doc_ids has a column doc_id."""
         ids = doc_ids.select("doc_id").distinct()
         gone = self.lines.join(ids, "doc_id", "left_semi")
-        left = stored(self.lines.join(ids, "doc_id", "left_anti"), "lines")
+        left = stored(self.lines.join(ids, "doc_id", "left_anti").select("a", "b", "doc_id"), "lines")
         touched = gone.select("a", "b").distinct()
         same = self.counts.join(touched, ["a", "b"], "left_anti")
         changed = self._count(left.join(touched, ["a", "b"], "left_semi"))
@@ -230,16 +229,16 @@ class LineDedup:
             change = into.withColumn("put", F.lit(True)).unionByName(out.withColumn("put", F.lit(False)))
         change = change.withColumn("shard", self._shard())
 
-        def update(key: tuple, filters: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-            cuckoo = Cuckoo.load(filters["filter"].iloc[0] if len(filters) else None)
-            changes = changes.sort_values(["b", "a"])
-            put = changes["put"].astype(bool)
-            cuckoo.delete(changes["b"][~put].to_numpy(np.int64))
-            cuckoo.insert(changes["b"][put].to_numpy(np.int64))
-            return pd.DataFrame({"shard": [key[0]], "filter": [cuckoo.dump()]})
+        def update(key: tuple, filters: pa.Table, changes: pa.Table) -> pa.Table:
+            cuckoo = Cuckoo.load(filters.column("filter")[0].as_py() if filters.num_rows else None)
+            changes = changes.sort_by([("b", "ascending"), ("a", "ascending")])
+            keys, put = changes.column("b").to_numpy(), changes.column("put").to_numpy()
+            cuckoo.delete(keys[~put])
+            cuckoo.insert(keys[put])
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([cuckoo.dump()], pa.binary())})
 
         both = self.filters.groupBy("shard").cogroup(change.groupBy("shard"))
-        self.filters = stored(both.applyInPandas(update, FILTERS), "filters")
+        self.filters = stored(both.applyInArrow(update, FILTERS), "filters")
 
     def _shard(self):
         return F.pmod(F.col("a"), F.lit(self.shards)).cast("int")
