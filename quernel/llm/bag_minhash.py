@@ -23,7 +23,7 @@ import xxhash
 WORDS, SLOTS, ROWS = 5, 80, 4
 SLACK = 4.0
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-KEPT = 400_000
+KEPT = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ def small_batches(spark: SparkSession) -> None:
         ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES),
     ):
         try:
-            default = spark.conf.get(key) in ("10000", str(2**31 - 1), "67108864", "64MB", "256MB")
+            default = spark.conf.get(key) in ("10000", str(2**31 - 1), "67108864b")
         except Exception:  # noqa: BLE001  the key is unknown to this version
             default = True
         if default:
@@ -46,11 +46,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/quernel/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and reread: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, codec: str = "none") -> DataFrame:
+    """``df`` written to the shared folder and reread: cuts lineage, survives lost executors.
+
+    Hashes don't compress, and codecs hold native memory for every file; tables
+    with texts ask for one.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]  for drop_stored
     return out
@@ -93,6 +97,21 @@ def rows_by_bytes(batches: Iterable[pa.RecordBatch], limit: int, text: str = "te
         yield ids, texts
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """make(), kept by the worker process from task to task until another key is asked for.
+
+    One thing at a time, so that a process that serves several operators in turn
+    doesn't hold the memos of all of them.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Memo:
     """A bounded two-generation memo of ``make(list of keys) -> list of values``.
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import drop_stored, stored
 
 
+#: Links of a file.
+EDGES = 250_000
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of its component) for every node of ``links``.
 
@@ -17,16 +21,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     over tasks.  Each round is a written table.
     """
     edges = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    # links don't grow in number from here on
+    files = max(4, -(-edges.count() // EDGES))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(files)
         # now each edge leads to a smaller node
         down = stored(large, "edges")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        after = stored(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(files), "edges")
         sign = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop_stored(edges, down)
         edges = after
@@ -34,4 +40,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = tuple(sign)
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+    return stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).coalesce(files), "components")

@@ -14,7 +14,6 @@ have, so pairs that can't reach the threshold aren't made; the bound is exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bag_minhash as bag
-from .common import drop_stored, rows_by_bytes, small_batches, stored, texts_of
+from .common import drop_stored, held, rows_by_bytes, small_batches, stored, texts_of
 from .components import components
 
 #: Weighted Jaccard similarity of multisets of five-word shingles from which two texts are near copies.
 LEAST = 0.8
 #: Pivots of a band in each round; None: all of its texts.
-PIVOTS = (1, 2, 8, None)
-GROUP_CHARS = 2 << 20
+PIVOTS = (1, 3, None)
+#: Classes of shingles in which the bounds are counted.
+PARTS = 128
+#: Texts of a block of a band.
+BLOCK = 256
+GROUP_CHARS = 1 << 19
 
 
-@cache
 def _hashes() -> bag.WordHashes:
     """The worker's memo of word hashes."""
-    return bag.WordHashes()
+    return held(("words",), bag.WordHashes)
 
 
 def signed(docs: DataFrame, slots: int = bag.SLOTS) -> DataFrame:
@@ -78,7 +80,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bounds(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """key, n, s: a text's number of shingles, and of those that another text of ``texts`` holds too."""
+    """key, n, s, parts: a text's number of shingles, and of those that another text of ``texts`` holds too, in all and by PARTS."""
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +94,52 @@ def _bounds(keys: DataFrame, texts: DataFrame) -> DataFrame:
     items = texts.join(keys, "key", "left_semi").mapInArrow(run, "key binary, item long")
     # a hash for the owner: 8 bytes of it are enough to count, since a clash only loosens the bound
     small = items.select(F.xxhash64("key").alias("owner"), "item")
-    alone = small.groupBy("item").agg(F.count("*").alias("c"), F.min("owner").alias("owner"))
-    unique = alone.where("c = 1").groupBy("owner").agg(F.count("*").alias("u"))
-    sizes = small.groupBy("owner").agg(F.count("*").alias("n"))
-    both = sizes.join(unique, "owner", "left").select("owner", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
-    return keys.withColumn("owner", F.xxhash64("key")).join(both, "owner").select("key", "n", "s")
+    part = F.pmod("item", F.lit(PARTS)).cast("int").alias("part")
+    alone = small.groupBy("item").agg(F.count("*").alias("c"), F.min("owner").alias("owner")).where("c = 1")
+    each = small.select("owner", part, F.lit(1).alias("n"), F.lit(1).alias("s")).unionByName(alone.select("owner", part, F.lit(0).alias("n"), F.lit(-1).alias("s")))
+    counted = each.groupBy("owner", "part").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    by_part = F.map_from_entries(F.collect_list(F.struct("part", "s")))
+    rows = counted.groupBy("owner").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), by_part.alias("m"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    return keys.withColumn("owner", F.xxhash64("key")).join(rows.withColumn("parts", parts), "owner").select("key", "n", "s", "parts")
+
+
+def _reaching(least: float, group: pa.Table) -> pa.Table:
+    """The pairs a, b of a group of two blocks of a band that may be linked: of different components, a pivot
+    among them, and sharing no less than the threshold needs; they share no more than either shares with any
+    text, part by part."""
+    column = lambda name: group.column(name).combine_chunks()
+    n, s, block, pivot = (column(c).to_numpy(zero_copy_only=False) for c in ("n", "s", "block", "pivot"))
+    root = column("root").dictionary_encode().indices.to_numpy()
+    parts = column("parts").flatten().to_numpy().reshape(len(n), -1).astype(np.int32)
+    first = np.flatnonzero(block == block.min())
+    second = np.flatnonzero(block == block.max())
+    left, right = [], []
+    for i in first:
+        j = second[second > i] if block[i] == block[second[0]] else second
+        common = np.minimum(s[i], s[j])
+        j = j[(root[i] != root[j]) & (pivot[i] | pivot[j]) & (common >= least * (n[i] + n[j] - common))]
+        common = np.minimum(parts[i], parts[j]).sum(axis=1)
+        j = j[common >= least * (n[i] + n[j] - common)]
+        left.append(np.full(len(j), i))
+        right.append(j)
+    keys = column("key")
+    return pa.table({"a": keys.take(pa.array(np.concatenate(left))), "b": keys.take(pa.array(np.concatenate(right)))})
+
+
+def _met(opened: DataFrame, pivots: int | None, least: float) -> DataFrame:
+    """Pairs a < b of texts that share a band and may be linked; see _reaching.
+
+    A band's texts are dealt into blocks, and each two blocks (or one) make a
+    group, so that no group is larger than two blocks.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(5), "key"), blocks).cast("int")
+    rank = F.lit(True) if pivots is None else F.pmod(F.xxhash64(F.lit(pivots), "key", "band"), F.col("size")) < pivots
+    placed = opened.withColumn("pivot", rank).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    grouped = placed.groupBy("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    pairs = grouped.applyInArrow(lambda group: _reaching(least, group), "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_links(reps: DataFrame, texts_from: DataFrame, least: float = LEAST) -> DataFrame | None:
@@ -110,7 +153,7 @@ def near_links(reps: DataFrame, texts_from: DataFrame, least: float = LEAST) ->
     if bands.isEmpty():
         return None
     candidates = stored(bands.select("key").distinct(), "candidates")
-    texts = stored(texts_from.join(candidates, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    texts = stored(texts_from.join(candidates, "key", "left_semi").dropDuplicates(["key"]), "texts", "snappy")
 
     # the first round: every text of a band against the band's pivot
     pivot = bands.groupBy("band").agg(F.min_by("key", F.xxhash64("key", "band")).alias("a"))
@@ -126,18 +169,8 @@ def near_links(reps: DataFrame, texts_from: DataFrame, least: float = LEAST) ->
             bounds = stored(_bounds(opened.select("key").distinct(), texts), "bounds")
         # a text with too many shingles of its own is like no other one
         opened = stored(opened.join(bounds, "key").where(F.col("s") >= least * F.col("n")), "opened")
-        chosen = opened
-        if pivots:
-            rank = F.pmod(F.xxhash64(F.lit(pivots), "key", "band"), F.col("size"))
-            chosen = opened.where(rank < pivots)
-        x = opened.select("band", *(F.col(c).alias(f"x_{c}") for c in ("key", "root", "n", "s")))
-        y = chosen.select("band", *(F.col(c).alias(f"y_{c}") for c in ("key", "root", "n", "s")))
-        common = F.least("x_s", "y_s")
-        able = (F.col("x_root") != F.col("y_root")) & (common >= least * (F.col("x_n") + F.col("y_n") - common))
-        once = able & (F.col("x_key") > F.col("y_key")) if pivots is None else able
-        met = x.join(y, "band").where(once).select(F.greatest("x_key", "y_key").alias("b"), F.least("x_key", "y_key").alias("a"))
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = stored(met.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        fresh = stored(_met(opened, pivots, least).join(done, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             if pivots is None or opened.isEmpty():
                 break
