@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import Memo, rows_by_bytes, small_batches, texts_of
+from .common import Memo, held, rows_by_bytes, small_batches, texts_of
 from .word_pieces import tokenizer_path
 
 # Fixed value: the pre-tokenisation pattern of this family of byte-level vocabularies.
@@ -34,7 +34,7 @@ LONG_WORD = 400
 LATIN_END = "\u0250"
 #: Chunks longer than this are not kept.
 LONGEST_KEPT = 128
-KEPT = 400_000
+KEPT = 300_000
 BATCH_CHARS = 1 << 20
 
 
@@ -162,6 +162,11 @@ class RankArrayBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def worker_bpe(path: str) -> RankArrayBPE:
+    """The worker's encoder."""
+    return held(("bpe", path), lambda: RankArrayBPE(path))
+
+
 def bpe_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, ids, decoded for every row of ``docs``; see bpe_digests for the edge cases."""
     return _encoded(
@@ -188,10 +193,9 @@ def _encoded(docs: DataFrame, vocabulary: str, schema: str, row, types: list) ->
     names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
+        bpe = worker_bpe(tokenizer_path(vocabulary))
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for ids, texts in rows_by_bytes(batches, BATCH_CHARS):
-            bpe = bpe or RankArrayBPE(tokenizer_path(vocabulary))
             out = []
             for text in texts:
                 got = bpe.encode(text)

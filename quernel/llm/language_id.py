@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import rows_by_bytes, small_batches, texts_of
 
 #: The bounded sample to learn from: documents a language (about), and the longest one in characters.
-SAMPLE, SAMPLE_CHARS = 150, 20_000
+SAMPLE, SAMPLE_CHARS = 100, 20_000
 #: Features that are kept at most, and words in each language's lexicon.
 FEATURES, LEXICON = 60_000, 1_500
 SPLICE, LENGTH, STEPS = 40, 200, 40
-BLOCK, GROUP_CHARS, KEPT = 128, 2 << 20, 500_000
+BLOCK, GROUP_CHARS, KEPT = 128, 1 << 20, 300_000
 UNKNOWN = "und"
 
 
@@ -304,11 +304,11 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
     return texts_of(docs).mapInArrow(run, SCHEMA).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, field: Field | None = None) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, field: Field | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more.
 
     Rejected: null texts, texts without a letter, and texts of which no language
-    has the larger part.  If no row can be learned from, all rows go.
+    has that share of the words' probability.  If no row can be learned from, all rows go.
     """
     spark = docs.sparkSession
     small_batches(spark)
