@@ -40,7 +40,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, decoded_ok, n_tokens and the ids' digest of what is left."""
+    """Token ids of what is left, with digests of the ids and of the text decoded from them."""
     encoded = bpe_tokens(docs)
     digits = F.array_join("ids", ",")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(digits, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
@@ -61,5 +61,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", "snappy")
     return STAGES[-1][1](spark, docs, sf_dir)
