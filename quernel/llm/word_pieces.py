@@ -9,17 +9,18 @@ bound; a text is never cut anywhere else, and no part of it is left out.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 
-from .common import Memo
+from .common import held
 
 #: Pieces longer than this are encoded each time and not kept.
 LONGEST_KEPT = 256
 #: Distinct pieces kept by a worker, twice this at most.
 KEPT = 500_000
+SAMPLES = ("a", "the", "tion", "onthat", "encyclopedias", "zqxjkv", "s", "ll", "mnbvcxzasdf" * 5)
 #: Marks that may follow a word.
 TAILS = (",", ".")
 #: A text longer than this is worked on in segments.
@@ -57,81 +58,93 @@ def segments(text: str, limit: int = SEGMENT):
         at = end
 
 
-class PieceEncoder:
-    """``value_of(encoding)`` of every piece, memoised."""
+def pieces_of(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
+
+
+def parted(piece: str) -> tuple[str, str]:
+    """A piece's core and the mark after it.
+
+    A mark after a letter or digit is a word of its own to the tokenizer, and it
+    lowers letters first, so "Word," is "word" and ",".  Not so beside "<|",
+    where a special token may stand.
+    """
+    if piece.isascii() and "<|" not in piece:
+        piece = piece.lower()
+        if piece[-1:] in TAILS and piece[-2:-1].isalnum():
+            return piece[:-1], piece[-1]
+    return piece, ""
+
+
+class PieceEncoder(dict):
+    """Pieces to a value of their encoding, memoised in two generations.
+
+    When the young generation is full it becomes the old one and the old one
+    goes, so frequent pieces stay and memory has a fixed bound.
+    """
 
     def __init__(self, path: str, value_of: Callable, kept: int = KEPT):
-        self.tokenizer, self.value_of = load_tokenizer(path), value_of
-        self.memo = Memo(self.missing, kept)
-
-    def prime(self) -> None:
-        """Values of the empty piece and of single marks; value_of must be ready."""
-        marks = ["", *TAILS]
-        self.memo.young.update(zip(marks, self.encode(marks)))
-        self.tails = dict(zip(marks, self.encode(marks)))
-
-    def encode(self, pieces: list[str]) -> list:
-        value_of = self.value_of
-        return [value_of(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def missing(self, pieces: list[str]) -> list:
-        """Values of pieces that aren't held, by way of their cores.
-
-        A mark after a letter or digit is a word of its own to the tokenizer, and
-        it lowers letters first, so "Word," is "word" and ",".  Not so beside
-        "<|", where a special token may stand.
-        """
-        parted = []
-        for p in pieces:
-            tail = ""
-            if p.isascii() and "<|" not in p:
-                p = p.lower()
-                if p[-1:] in TAILS and p[-2:-1].isalnum():
-                    p, tail = p[:-1], p[-1]
-            parted.append((p, tail))
-        young, old, known, todo = self.memo.young, self.memo.old, {}, []
-        for core in {c for c, _ in parted}:
-            if (v := young.get(core)) is None and (v := old.get(core)) is None:
-                todo.append(core)
-            else:
-                known[core] = v
-        if todo:
-            known.update(zip(todo, self.encode(todo)))
-        if len(young) < self.memo.capacity:
-            young.update((c, v) for c, v in known.items() if len(c) <= LONGEST_KEPT)
-        return [known[c] + self.tails[t] if t else known[c] for c, t in parted]
+        """value_of: from the tokenizer to a function from a list of ids to a value that can be added up."""
+        super().__init__()
+        self.tokenizer, self.kept = load_tokenizer(path), kept
+        self.value_of = value_of(self.tokenizer)
+        self.old: dict = {}
+        self.model = self.tokenizer.model.tokenize
+        # a lower-case ASCII word needs no normalisation and no split, if these show that it is so
+        self.direct = all([t.id for t in self.model(w)] == self.ids(w) for w in SAMPLES)
+        self.tails = {t: self.encode(t) for t in TAILS}
+
+    def ids(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def encode(self, piece: str):
+        if self.direct and piece.isascii() and piece.isalpha() and piece.islower():
+            return self.value_of([t.id for t in self.model(piece)])
+        return self.value_of(self.ids(piece))
+
+    def encode_batch(self, pieces: set[str]) -> None:
+        """Encodes those of ``pieces`` that aren't held, as one batch."""
+        todo = list({c for p in pieces if p not in self for c in [parted(p)[0]] if len(c) <= LONGEST_KEPT and c not in self and c not in self.old})
+        for piece, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
+            self[piece] = self.value_of(e.ids)
+
+    def __missing__(self, piece: str):
+        """The value of a piece that isn't held, by way of its core."""
+        core, tail = parted(piece)
+        value = self.get(core)
+        if value is None and (value := self.old.get(core)) is None:
+            value = self.encode(core)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= self.kept:
+                self.old = dict(self)
+                self.clear()
+            self[core] = value
+            if core != piece:
+                value = self[piece] = value + self.tails[tail] if tail else value
+        elif tail:
+            value = value + self.tails[tail]
+        return value
 
     def values(self, text: str) -> list:
         """The values of a segment's pieces, in order."""
-        pieces = text.replace("\n", " ").split(" ")
-        get = self.memo.young.get
-        got = list(map(get, pieces))
-        if None in got:
-            missing = {p for p, v in zip(pieces, got) if v is None}
-            once = {p for p in missing if len(p) > LONGEST_KEPT}
-            now = dict(zip(once, self.encode(list(once)))) if once else {}
-            self.memo.fill(missing - once)
-            young = self.memo.young
-            got = [v if v is not None else young[p] if p in young else now[p] for p, v in zip(pieces, got)]
-        return got
-
-
-@cache  # once a worker process, which goes from task to task
-def length_encoder(path: str) -> PieceEncoder:
-    """Pieces to numbers of ids."""
-    encoder = PieceEncoder(path, len)
-    encoder.prime()
-    return encoder
+        return list(map(self.__getitem__, pieces_of(text)))
 
 
 def id_type(tokenizer) -> np.dtype:
+    """Of ids in files; workers write their machine's byte order, little-endian on all that Spark's native parts support."""
     return np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
 
-@cache
+def length_encoder(path: str) -> PieceEncoder:
+    """The worker's encoder of pieces to numbers of ids."""
+    return held(("lengths", path), lambda: PieceEncoder(path, lambda tokenizer: len))
+
+
 def id_encoder(path: str) -> PieceEncoder:
-    """Pieces to the bytes of their ids, of type id_type."""
-    encoder = PieceEncoder(path, lambda e: np.array(e.ids, dtype).tobytes())
-    dtype = id_type(encoder.tokenizer)
-    encoder.prime()
-    return encoder
+    """The worker's encoder of pieces to the bytes of their ids, of type id_type."""
+
+    def packed(tokenizer) -> Callable:
+        code = "H" if id_type(tokenizer).itemsize == 2 else "I"
+        return lambda ids: array(code, ids).tobytes()
+
+    return held(("ids", path), lambda: PieceEncoder(path, packed))
