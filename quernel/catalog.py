@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from .config import Config, Search
 from .functions import text as tx
-from .functions.embed import HashingEmbedder
+from .functions.embed import HashingEmbedder, embed_chunks
 from .functions.frontmatter import frontmatter
-from .functions.vectors import cosine
 from .operators import chunks, fulltext, graph, hybrid, links, vectors
 from .operators.context import context_window
 from .plans import index
@@ -502,12 +501,20 @@ def context_window_lines(spark, d):
     return context_window(held.select("path", F.lit(3).alias("start_line"), F.lit(4).alias("end_line")), held, 2)
 
 
-@query()
+@query(f"""WITH w AS (SELECT conv_id || '-' || turn AS path, unnest(list_filter({_words('text')}, lambda x: x IS NOT NULL)) AS word FROM conversations),
+h AS (SELECT path, CAST('0x' || substr(sha256(word), 1, 16) AS UBIGINT) AS h FROM w),
+v AS (SELECT path, (h % 16)::INTEGER AS dim, sum(CASE WHEN h >= 9223372036854775808 THEN 1.0E0 ELSE -1.0E0 END) AS v FROM h GROUP BY ALL)
+SELECT path, dim, round((v / sqrt(sum(v * v) OVER (PARTITION BY path)))::FLOAT::DOUBLE, 4) AS value FROM v QUALIFY v <> 0""")
 def embed_hashing(spark, d):
-    from .functions.embed import embed_chunks
-
-    made = chunks.chunk_notes(index.parsed(markdown(spark, d)))
-    return embed_chunks(made, HashingEmbedder(16)).select("path", "start_line", F.round(cosine(F.col("embedding"), F.col("embedding")), 4).alias("self"))
+    turns = read(spark, d, "conversations")
+    path = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    made = turns.select(
+        path.alias("path"), F.lit("t").alias("title"), F.lit("").alias("tags"), F.lit(None).cast("string").alias("heading"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "text", F.lit(0).alias("body_line_offset"),
+    )
+    held = embed_chunks(made, HashingEmbedder(16))
+    each = held.select("path", F.posexplode("embedding").alias("dim", "x")).where("x <> 0")
+    return each.select("path", "dim", F.round(F.col("x").cast("double"), 4).alias("value"))
 
 
 @query(f"WITH {PLACES} SELECT path, any_value(title) AS title, count(*)::DOUBLE AS matched FROM places WHERE field = 'body' AND starts_with(term, 'whi') GROUP BY path")
