@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_by_bytes, small_batches, texts_of
-from .word_pieces import PieceEncoder, segments, tokenizer_path
+from .word_pieces import length_encoder, pieces_of, segments, tokenizer_path
 
 #: Characters of text that are worked on at once.
 BATCH_CHARS = 1 << 20
@@ -29,12 +29,11 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = length_encoder(tokenizer_path(tokenizer))
         for ids, texts in rows_by_bytes(batches, BATCH_CHARS):
-            if encoder is None:
-                encoder = PieceEncoder(tokenizer_path(tokenizer), len)
-                encoder.prime()
-            lengths = [sum(sum(encoder.values(part)) for part in segments(t)) for t in texts]
+            parts = [[pieces_of(part) for part in segments(t)] for t in texts]
+            encoder.encode_batch(set().union(*(p for t in parts for p in t)))
+            lengths = [sum(sum(map(encoder.__getitem__, p)) for p in t) for t in parts]
             yield pa.record_batch(
                 [
                     pa.array(ids, pa.int64()),
