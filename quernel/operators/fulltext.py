@@ -52,10 +52,19 @@ def _matches(token: Column, kind: str, words: tuple) -> Column:
     return token.isin(*words[:-2]) if kind == "set" else token == words[0]
 
 
+def _once(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """path, title and columns that are worked out once a row.
+
+    A generator of one row stands between them and their uses, into which the
+    optimiser would otherwise copy them.
+    """
+    return docs.select("path", "title", F.explode(F.array(F.struct(*columns))).alias("row")).select("path", "title", "row.*")
+
+
 def placed(docs: DataFrame, query: Clause) -> DataFrame:
     """path, title, dl_<field>, and p<n>: the places of the query's n-th atom."""
     words = {f: f"w_{f}" for f in FIELDS}
-    split = docs.select("path", "title", *(tokens(F.coalesce(f, F.lit(""))).alias(w) for f, w in words.items()))
+    split = _once(docs, [tokens(F.coalesce(f, F.lit(""))).alias(w) for f, w in words.items()])
     columns = [F.size(F.filter(w, lambda t: t.isNotNull())).alias(f"dl_{f}") for f, w in words.items()]
     for n, (f, kind, atom) in enumerate(_atoms(query)):
         if f == "path":
@@ -64,7 +73,7 @@ def placed(docs: DataFrame, query: Clause) -> DataFrame:
             marked = F.transform(words[f], lambda t, i: F.when(F.coalesce(_matches(t, kind, atom), F.lit(False)), i))  # noqa: B023
             places = F.filter(marked, lambda i: i.isNotNull())
         columns.append(places.alias(f"p{n}"))
-    return split.select("path", "title", *columns)
+    return _once(split, columns)
 
 
 def statistics(docs: DataFrame, query: Clause) -> dict:

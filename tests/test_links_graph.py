@@ -12,7 +12,7 @@ def targets(spark, text):
 
 def test_wikilinks(spark):
     assert targets(spark, "see [[a]] and [[b|B]] and [[c#h|C]]") == [("a", None), ("b", "B"), ("c", "C")]
-    assert targets(spark, "```\n[[a]]\n~~~\n[[b]]\n```\n[[c]]\n```\n[[d]]") == [("b", None)]
+    assert targets(spark, "```\n[[a]]\n~~~\n[[b]]\n```\n[[c]]\n```\n[[d]]") == [("b", None), ("d", None)]
     assert targets(spark, "`[[a]]` [[b]] `open [[c]]") == [("b", None)]
     assert targets(spark, "[[#heading]] [[]] [[open ![[e]]") == [("open ![[e", None)]
     assert targets(spark, "") == []
