@@ -2,12 +2,11 @@
 
 Passages are blocks of 32 words and pairs of neighbouring blocks, as TF-IDF
 vectors over the benchmark's terms; no other term can add to a similarity with
-an item.  Columns are each item's rarest terms, by their document frequencies
-over all documents; an item's own rank decides, so an item that a third of all
-documents hold keeps its columns too.  The passages' singular vectors come from
-a randomised SVD in one distributed pass: every task adds up its share of
-G * Omega, where G is the Gram matrix of all passages, of documents and benchmark
-alike, and the Nystrom formula on the sum gives the leading ones.
+an item.  Columns are all informative terms of the items, so a paraphrase that
+replaces an item's rarest words is found by the others.  The passages' singular
+vectors come from a randomised SVD in one distributed pass: every task adds up its
+share of G * Omega, where G is the Gram matrix of all passages, of documents and
+benchmark alike, and the Nystrom formula on the sum gives the leading ones.
 
 A passage is a candidate for an item if their cosine in the latent space reaches
 a threshold.  A candidate counts if the longest common subsequence of words
@@ -39,16 +38,18 @@ from .common import drop_stored, rows_by_bytes, small_batches, stored, texts_of
 RANK, EXTRA, COLUMNS, BLOCK_ITEMS = 256, 16, 1 << 15, 20_000
 WORDS = 32
 #: Cosine of a candidate; share of an item's words in order that tells alone; share that tells together with the answer.
-COSINE, ALONE, WITH_ANSWER, ANSWER = 0.5, 0.7, 0.6, 0.9
+COSINE, ALONE, WITH_ANSWER, ANSWER = 0.3, 0.7, 0.6, 0.9
 #: An answer of fewer words is replaced by so many words at the item's end.
 SHORT = 8
-#: A term of more than this share of the items (and of more than two) isn't informative; rarest terms of an item that are columns.
-COMMON, RAREST = 0.02, 12
+#: A term of more than this share of the items (and of more than two) isn't informative.
+COMMON = 0.02
 #: A passage has so many of the columns' terms at least, or a third of the terms of the item with the fewest.
 LEAST_TERMS = 3
 GROUP_CHARS = 2 << 20
 #: Columns of a row of partial sums, and groups of tasks that are added up first.
 PART, SALTS = 64, 32
+#: Rows that are gathered and added at a time, so that they stay in the cache; terms of documents that are sketched at a time.
+CACHED, SKETCHED = 1024, 1 << 16
 
 
 #: ASCII marks as spaces.
@@ -66,6 +67,9 @@ class Item:
     words: list[bytes]
     answer: list[bytes]
 
+    def __post_init__(self):
+        self.held = frozenset(self.words)
+
     @classmethod
     def of(cls, item_id: int | None, text: str) -> Item:
         sentences = [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if s]
@@ -88,6 +92,18 @@ def common_length(pattern: list[bytes], text: list[bytes]) -> int:
     return len(pattern) - row.bit_count()
 
 
+def run_sums(table: np.ndarray, index: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows at ``index``, over the runs that begin at ``start``."""
+    cut = np.append(start, len(index))
+    out = np.empty((len(start), table.shape[1]), table.dtype)
+    a = 0
+    while a < len(start):
+        b = min(len(start), max(a + 1, int(np.searchsorted(cut, cut[a] + CACHED))))
+        np.add.reduceat(table[index[cut[a] : cut[b]]], start[a:b] - cut[a], axis=0, out=out[a:b])
+        a = b
+    return out
+
+
 @dataclass
 class Space:
     """Terms to columns, the columns' weights, and what a search needs of the items."""
@@ -125,19 +141,11 @@ class Space:
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *owner]), np.concatenate([none, *place]), np.concatenate([none, *column])
 
-    def narrowed(self, frequency: np.ndarray, documents: float) -> tuple[Space, np.ndarray]:
-        """The space of each item's RAREST terms with their idf, and the new column (or -1) of each old one."""
-        chosen = set()
-        for item in self.items:
-            own = sorted({w for w in item.words if w in self.column}, key=lambda w: (frequency[self.column[w]], w))
-            chosen.update(self.column[w] for w in own[:RAREST])
-        lookup = np.full(self.width, -1, np.int64)
-        lookup[sorted(chosen)] = np.arange(len(chosen))
-        column = {w: int(lookup[c]) for w, c in self.column.items() if lookup[c] >= 0}
-        fewest = min(len({w for w in i.words if w in column}) for i in self.items)
-        out = Space(column, len(chosen), items=self.items, least=max(1, min(LEAST_TERMS, fewest // 3)))
-        out.weight = 1 + np.log((1 + documents) / (1 + frequency[sorted(chosen)]))
-        return out, lookup
+    def weigh(self, frequency: np.ndarray, documents: float) -> None:
+        """Sets the columns' idf, and how many terms a passage has at least."""
+        fewest = min(len({w for w in i.words if w in self.column}) for i in self.items)
+        self.least = max(1, min(LEAST_TERMS, fewest // 3))
+        self.weight = 1 + np.log((1 + documents) / (1 + frequency))
 
     def passages(self, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the blocks within the terms, and which blocks are followed by the next one of their text."""
@@ -151,7 +159,7 @@ class Space:
     def vectors(self, owner: np.ndarray, place: np.ndarray, column: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows (passages times ``table``), each one's first block's start, and the blocks with a next one."""
         start, pair = self.passages(owner, place)
-        blocks = np.add.reduceat(table[column], start, axis=0)
+        blocks = run_sums(table, column, start)
         return np.concatenate([blocks, blocks[pair] + blocks[pair + 1]]), start, pair
 
     def find(self, texts: list[str]) -> list[tuple[int, int, float, float, bool]]:
@@ -182,7 +190,9 @@ class Space:
                 split = {t: words_of(texts[t])}
             words, share, answered = split[t], 0.0, False
             for a, b in _joined(spans, len(item.words)):
-                near = words[a:b]
+                near = [w for w in words[a:b] if w in item.held]
+                if len(near) < WITH_ANSWER * len(item.words):  # no common subsequence is longer
+                    continue
                 got = common_length(item.words, near) / len(item.words)
                 answer = common_length(item.answer, near) >= ANSWER * len(item.answer)
                 share, answered = max((share, answered), (got, answer))
@@ -215,7 +225,7 @@ def sketched(space: Space, owner: np.ndarray, place: np.ndarray, column: np.ndar
     order = np.argsort(column, kind="stable")
     held = column[order]
     at = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    total[held[at]] = np.add.reduceat(back[of[order]], at, axis=0) * space.weight[held[at], None]
+    total[held[at]] = run_sums(back, of[order], at) * space.weight[held[at], None]
     return total
 
 
@@ -232,7 +242,7 @@ def _term_table(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _partials(kind: str, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's share of the document frequencies ("df") or of the sketch ("sketch"), PART columns a row."""
-    space, lookup, omega = shared.value
+    space, omega = shared.value
     width = 1 if kind == "df" else omega.shape[1]
     total, energy = np.zeros((-(-space.width // PART) * PART, width)), 0.0
     for batch in batches:
@@ -243,10 +253,11 @@ def _partials(kind: str, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[
             seen = np.unique(owner * space.width + column) % space.width
             total[:, 0] += np.bincount(seen, minlength=len(total))
             continue
-        column = lookup[column]
-        kept = column >= 0
-        owner, place, column = owner[kept], batch.column("place").flatten().to_numpy()[kept], column[kept]
-        total[: space.width] += sketched(space, owner, place, column, omega)
+        place = batch.column("place").flatten().to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))  # of each document's terms
+        pieces = np.unique(first[np.searchsorted(first, np.arange(0, len(owner), SKETCHED), "right") - 1])
+        for a, b in zip(pieces, [*pieces[1:], len(owner)]):
+            total[: space.width] += sketched(space, owner[a:b], place[a:b], column[a:b], omega)
         energy += float((space.weight[column] ** 2).sum())
     parts = np.flatnonzero(total.reshape(-1, PART * width).any(axis=1))
     blobs = [total[p * PART : (p + 1) * PART].tobytes() for p in parts]
@@ -261,9 +272,9 @@ def _added(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([np.asarray(total, np.float64).tobytes()], pa.binary())})
 
 
-def _gathered(terms: DataFrame, kind: str, space: Space, lookup: np.ndarray | None = None, omega: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+def _gathered(terms: DataFrame, kind: str, space: Space, omega: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """The sums over all rows of a term table: (columns x width), and their energy."""
-    shared = terms.sparkSession.sparkContext.broadcast((space, lookup, omega))
+    shared = terms.sparkSession.sparkContext.broadcast((space, omega))
     partials = terms.mapInArrow(partial(_partials, kind, shared), "part int, sums binary")
     # a few tasks' partial sums are added before those of all tasks meet
     salted = partials.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
@@ -296,13 +307,13 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | None
     items = [i for r in sorted(rows, key=lambda r: (r.item_id is not None, r.item_id, r.text)) if (i := Item.of(r.item_id, r.text)).words]
     if not items:
         return None
-    wide = Space.of(items)
-    shared = docs.sparkSession.sparkContext.broadcast(wide)
+    space = Space.of(items)
+    shared = docs.sparkSession.sparkContext.broadcast(space)
     terms = stored(docs.mapInArrow(partial(_term_table, shared), TERMS), "terms")
-    frequency, _ = _gathered(terms, "df", wide)
-    space, lookup = wide.narrowed(frequency[:, 0], float(terms.count()))
+    frequency, _ = _gathered(terms, "df", space)
+    space.weigh(frequency[:, 0], float(terms.count()))
     omega = np.random.default_rng(17).standard_normal((space.width, min(space.width, rank + EXTRA)))
-    sketch, energy = _gathered(terms, "sketch", space, lookup, omega)
+    sketch, energy = _gathered(terms, "sketch", space, omega)
     drop_stored(terms)
     owner, place, column = space.terms([b" ".join(i.words).decode() for i in items])
     own, own_energy = sketched(space, owner, place, column, omega), float((space.weight[column] ** 2).sum())

@@ -262,6 +262,24 @@ def test_decontamination(spark):
     assert drop_contaminated(docs, benchmark.where("item_id >= 30")).count() == len(rows)
 
 
+def test_decontamination_without_the_rarest_words(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfghjk") + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    items = [(i, " ".join(rng.sample(words, 50))) for i in range(20)]
+    docs = [(d, " ".join(rng.choices(words, k=300))) for d in range(100, 140)]
+    spread = defaultdict(int)
+    for text in [t for _, t in docs + items]:
+        for w in set(text.split()):
+            spread[w] += 1
+    for i, text in items:
+        rarest = set(sorted(text.split(), key=lambda w: (spread[w], w))[:12])
+        body = [f"zz{n}" if w in rarest else w for n, w in enumerate(text.split())]
+        docs.append((i, " ".join([*rng.choices(words, k=70), *body, *rng.choices(words, k=90)])))
+    table = spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS)
+    found = {(r.doc_id, r.item_id) for r in contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(i, i) for i, _ in items}
+
+
 def test_common_subsequences():
     rng = random.Random(3)
     for _ in range(100):
