@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.text import csv_tags, has_all, starts_with_any
 from ..functions.vectors import cosine, norm
 
-#: Query vectors that a batch search takes; they are broadcast.
-MOST_QUERIES = 10_000
+#: Query vectors that a pass of a batch search takes, which are broadcast; those that a batch is multiplied with at a time.
+MOST_QUERIES, AT_ONCE = 10_000, 512
 
 
 def literal(vector) -> Column:
@@ -37,31 +37,43 @@ def knn(vectors: DataFrame, query, limit: int, digits: int | None = None) -> Dat
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", digits: int = 6) -> DataFrame:
-    """query_id, key, score, rank: the nearest rows of each query, by one pass of matrix products.
+    """query_id, key, score, rank: the nearest rows of each query, by matrix products.
 
-    queries: query_id, embedding, MOST_QUERIES rows at most.  Each batch keeps
-    its own best, and only those are ranked.
+    queries: query_id, embedding, any number of rows.  Blocks of about
+    MOST_QUERIES by the id's hash take one pass over ``vectors`` each.  Each batch
+    keeps its own best, and only those are ranked.
     """
-    rows = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search in blocks")
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = None
+    for b in range(blocks):
+        one = _nearest(vectors, queries.where(of == b), limit, key, digits)
+        found = one if found is None else found.unionByName(one)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, limit: int, key: str, digits: int) -> DataFrame:
+    """query_id, key, score: each batch's nearest rows of one block of queries."""
+    rows = queries.select("query_id", "embedding").collect()  # about MOST_QUERIES
     unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-    ids = np.array([r.query_id for r in rows], np.int64)
-    matrix = unit(np.array([r.embedding for r in rows], np.float64)) if rows else None
+    every = np.array([r.query_id for r in rows], np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast((every, unit(np.array([r.embedding for r in rows], np.float64)) if rows else None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        everyone, matrix = shared.value
         for batch in batches:
             if not len(batch) or matrix is None:
                 continue
-            score = np.round(unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64)) @ matrix.T, digits)
-            keys = batch[key].to_numpy()
-            best = np.lexsort((np.broadcast_to(keys[:, None], score.shape), -score), axis=0)[:limit]
-            each = np.broadcast_to(np.arange(len(ids)), best.shape)
-            yield pd.DataFrame({"query_id": ids[each].ravel(), key: keys[best].ravel(), "score": score[best, each].ravel()})
-
-    found = vectors.select(key, "embedding").mapInPandas(run, f"query_id long, {key} long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+            held, keys = unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64)), batch[key].to_numpy()
+            for at in range(0, len(everyone), AT_ONCE):
+                ids = everyone[at : at + AT_ONCE]
+                score = np.round(held @ matrix[at : at + AT_ONCE].T, digits)
+                best = np.lexsort((np.broadcast_to(keys[:, None], score.shape), -score), axis=0)[:limit]
+                each = np.broadcast_to(np.arange(len(ids)), best.shape)
+                yield pd.DataFrame({"query_id": ids[each].ravel(), key: keys[best].ravel(), "score": score[best, each].ravel()})
+
+    return vectors.select(key, "embedding").mapInPandas(run, f"query_id long, {key} long, score double")
 
 
 def with_norm(vectors: DataFrame) -> DataFrame:

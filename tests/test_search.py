@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from quernel.config import Search
@@ -81,3 +82,18 @@ def test_fusion(spark):
     assert hybrid.merge(near.where("false"), hybrid.fts_results(hits.where("false")), 2).count() == 0
     merged = hybrid.merge(near, hybrid.fts_results(hits), 10)
     assert hybrid.exclude(merged, ["a", "d"]).count() == 1 and hybrid.threshold(merged, 0.5).count() == 2
+
+
+def test_knn_batch_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 7)
+    monkeypatch.setattr(vectors, "AT_ONCE", 3, raising=False)
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((60, 5))
+    held = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    queries = held.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    want = {(q, int(v), r + 1) for q in range(0, 60, 2) for r, v in enumerate(np.lexsort((np.arange(60), -score[q]))[:4])}
+    rows = vectors.knn_batch(held, queries, 4).collect()
+    assert len(rows) == len(want) and {(r.query_id, r.vec_id, r["rank"]) for r in rows} == want
+    assert vectors.knn_batch(held, queries.where("false"), 4).count() == 0 and vectors.knn_batch(held.where("false"), queries, 4).count() == 0
