@@ -7,8 +7,8 @@ headings and wikilinks, and for a link graph: each turn links to the one before.
 
 from __future__ import annotations
 
-import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -481,17 +481,21 @@ def index_stats(spark, d):
     return index.change_counts(index.classify(*_manifests(spark, d)))
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all nodes share; in a folder of its own where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quernel-")
+    return f"{root.rstrip('/')}/quernel/index-{uuid.uuid4().hex}"
+
+
 @query(f"WITH {MARKDOWN} SELECT path, sha256(content) AS content_hash FROM markdown WHERE conv_id % 3 <> 0")
 def incremental_refresh(spark, d):
     """Two refreshes of a store, the second after a third of the notes went; its manifest."""
-    path = tempfile.mkdtemp(prefix="quernel-index-")
-    store = index.Store(spark, f"file://{path}")
+    store = index.Store(spark, _scratch(spark))
     base = markdown(spark, d).withColumn("modified", F.lit("2024-01-01").cast("timestamp"))
     index.refresh(store, base, Config().validated())
     index.refresh(store, base.where("conv_id % 3 <> 0"), Config().validated())
-    rows = store.table("manifest").collect()
-    shutil.rmtree(path)
-    return spark.createDataFrame(rows, "path string, content_hash string")
+    store.drop_old(1)
+    return store.table("manifest")
 
 
 @query(f"""WITH {NOTES}, l AS (SELECT path, unnest(list_transform({LINES_OF.format('body')}, lambda x, i: {{'i': i, 'line': x}})) AS x FROM notes)

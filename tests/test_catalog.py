@@ -1,5 +1,8 @@
+from types import SimpleNamespace
+
 import pytest
 
+from quernel import catalog
 from quernel.catalog import ORACLE_SQL, QUERIES
 
 
@@ -19,3 +22,15 @@ def test_entry_and_registry(spark):
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 10
+
+
+def test_incremental_refresh_stays_in_the_shared_folder(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "_scratch", lambda _: f"file://{tmp_path}/index", raising=False)
+    found = QUERIES["incremental_refresh"](spark, sf_dir)
+    assert found.inputFiles() and all(str(tmp_path) in f for f in found.inputFiles())
+    assert found.count() and not (tmp_path / "index" / "v=1").exists()
+
+
+def test_scratch_is_in_the_checkpoint_folder():
+    conf = SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": "hdfs://shared/"}.get(key, default))
+    assert catalog._scratch(SimpleNamespace(conf=conf)).startswith("hdfs://shared/quernel/index-")
