@@ -38,9 +38,10 @@ from .common import drop_stored, rows_by_bytes, small_batches, stored, texts_of
 RANK, EXTRA, COLUMNS, BLOCK_ITEMS = 256, 16, 1 << 15, 20_000
 WORDS = 32
 #: Cosine of a candidate; share of an item's words in order that tells alone; share that tells together with the answer.
-COSINE, ALONE, WITH_ANSWER, ANSWER = 0.3, 0.7, 0.6, 0.9
-#: An answer of fewer words is replaced by so many words at the item's end.
-SHORT = 8
+COSINE, ALONE, WITH_ANSWER, ANSWER = 0.3, 0.7, 0.5, 0.8
+#: In an item of fewer than LONG words, of which chance can put half into a passage, an answer of fewer than SHORT words is
+#: replaced by so many words at the item's end.
+SHORT, LONG = 8, 24
 #: A term of more than this share of the items (and of more than two) isn't informative.
 COMMON = 0.02
 #: A passage has so many of the columns' terms at least, or a third of the terms of the item with the fewest.
@@ -75,7 +76,8 @@ class Item:
         sentences = [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if s]
         words = words_of(text)
         answer = words_of(sentences[-1]) if sentences else []
-        return cls(item_id, words, answer if SHORT <= len(answer) < len(words) else words[-SHORT:])
+        least = 1 if len(words) >= LONG else SHORT
+        return cls(item_id, words, answer if least <= len(answer) < len(words) else words[-SHORT:])
 
 
 def common_length(pattern: list[bytes], text: list[bytes]) -> int:

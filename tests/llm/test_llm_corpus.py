@@ -280,6 +280,22 @@ def test_decontamination_without_the_rarest_words(spark):
     assert found == {(i, i) for i, _ in items}
 
 
+def test_decontamination_with_the_answer(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("bcdfghjk") + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    items, docs = [], []
+    for i in range(20):
+        body, answer = rng.sample(words, 36), rng.sample(words, 4)
+        items.append((i, " ".join(body) + ". " + " ".join(answer) + "."))
+        lost = set(rng.sample(range(36), 18))  # 22 of 40 words stay
+        kept = [f"zz{n}" if n in lost else w for n, w in enumerate(body)]
+        around = [rng.choices(words, k=60) for _ in range(2)]
+        docs.append((i, " ".join([*around[0], *kept, *answer, *around[1]]), "x"))
+        docs.append((i + 100, " ".join([*around[0], *kept, *around[1]]), "x"))  # too little without the answer
+    found = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(i, i) for i, _ in items}
+
+
 def test_common_subsequences():
     rng = random.Random(3)
     for _ in range(100):
