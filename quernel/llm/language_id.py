@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import rows_by_bytes, small_batches, texts_of
 
-#: The bounded sample to learn from: documents a language (about), and the longest one in characters.
+#: The bounded sample to learn from: documents a language (about), and the characters of each at most.
 SAMPLE, SAMPLE_CHARS = 100, 20_000
 #: Features that are kept at most, and words in each language's lexicon.
 FEATURES, LEXICON = 60_000, 1_500
@@ -264,8 +264,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame) -> Field | None:
-    """Fits the field to about SAMPLE documents a language: those that aren't held out, of at most SAMPLE_CHARS characters."""
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    """Fits the field to about SAMPLE documents a language: those that aren't held out, and of each the words within SAMPLE_CHARS characters."""
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r.lang: r["count"] for r in usable.select("lang").groupBy("lang").count().collect()}
     if not counts:
         return None
@@ -273,9 +273,15 @@ def learn(docs: DataFrame) -> Field | None:
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, (SAMPLE << 30) // n + 1))).otherwise(share)
-    drawn = usable.where(draw < share).select("lang", "text", draw.alias("draw"), "doc_id")
+    drawn = usable.where(draw < share).select("lang", F.left("text", F.lit(SAMPLE_CHARS + 1)).alias("text"), draw.alias("draw"), "doc_id")
     rows = drawn.orderBy("draw", "doc_id", "text").limit(2 * SAMPLE * len(counts)).collect()
-    return fit([(r.lang, [c for t in r.text.split() if (c := core(t))]) for r in rows])
+    return fit([(r.lang, [c for t in _leading_words(r.text) if (c := core(t))]) for r in rows])
+
+
+def _leading_words(text: str) -> list[str]:
+    """The words within SAMPLE_CHARS characters; one that is cut goes, unless it is the only one."""
+    tokens = text.split()
+    return tokens[:-1] or tokens if len(text) > SAMPLE_CHARS else tokens
 
 
 SCHEMA = "doc_id long, lang_pred string, score double"
