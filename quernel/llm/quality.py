@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from .common import rows_by_bytes, small_batches, texts_of
 
-#: Repeats of fewer words than this don't count.
-LEAST = 15
+#: Repeats of fewer words than this, the base rule's window, don't count.
+LEAST = 3
 #: A text is not kept if more than this share of its words lies in repeats, or a repeat is longer.
 MOST_SHARE, LONGEST = 0.3, 100
 SYMBOLS = "#*$%&|<>"
