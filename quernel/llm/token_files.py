@@ -209,6 +209,18 @@ def read_ids(path: str, manifest: list[dict], doc_id: int) -> list[list[int]]:
     return out
 
 
+def looked_up(index: Index) -> np.ndarray:
+    """The record of each key by the index, -1 if that has another or none; equal keys stand together, and keyless records first."""
+    record, known = np.arange(len(index.keys)), np.flatnonzero(index.known)
+    keys = index.keys[known]
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    found = index.find(keys[first])
+    at = np.where(found[back] < 0, -1, found[back] + np.arange(len(keys)) - first[back])
+    inside = (at >= 0) & (at < len(record))
+    record[known] = np.where(inside & (index.keys[np.where(inside, at, 0)] == keys), at, -1)
+    return record
+
+
 def scan_token_files(spark, path: str, manifest: list[dict]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every record, read back from the files through their indexes."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -220,25 +232,27 @@ def scan_token_files(spark, path: str, manifest: list[dict]) -> DataFrame:
         for row in (r for batch in batches for r in batch.to_pylist()):
             fs, file, index = _open(path, row)
             dtype, n = np.dtype(row["dtype"]), len(index.keys)
-            found = index.find(index.keys[index.known])
-            if not (index.keys[found] == index.keys[index.known]).all() or (found < 0).any():
+            record = looked_up(index)
+            if (record < 0).any():
                 raise ValueError(f"{file}: the index misses keys")
+            begin, size = index.offsets[record], np.diff(index.offsets)[record]
+            ends = np.cumsum(size)
             at = 0
-            with fs.open_input_stream(file) as f:
+            with fs.open_input_file(file) as f:
                 if f.read(len(MAGIC)) != MAGIC:
                     raise ValueError(f"{file} isn't a token-id file")
                 while at < n:
-                    to = max(at + 1, int(np.searchsorted(index.offsets, index.offsets[at] + READ_BYTES // dtype.itemsize)))
-                    to = min(to, n)
-                    cuts = index.offsets[at : to + 1] - index.offsets[at]
-                    data = f.read(int(cuts[-1]) * dtype.itemsize)
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + READ_BYTES // dtype.itemsize)))
+                    low, high = int(begin[at:to].min()), int((begin[at:to] + size[at:to]).max())
+                    f.seek(len(MAGIC) + low * dtype.itemsize)
+                    data = f.read((high - low) * dtype.itemsize)
                     wide = memoryview(np.frombuffer(data, dtype).astype("<u4").tobytes())
-                    crcs = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+                    crcs = [zlib.crc32(wide[4 * a : 4 * (a + k)]) for a, k in zip((begin[at:to] - low).tolist(), size[at:to].tolist())]
                     yield pa.record_batch(
                         [
                             pa.array(index.keys[at:to], pa.int64(), mask=~index.known[at:to]),
-                            pa.array(index.offsets[at:to] + row["start"], pa.int64()),
-                            pa.array(np.diff(cuts), pa.int64()),
+                            pa.array(begin[at:to] + row["start"], pa.int64()),
+                            pa.array(size[at:to], pa.int64()),
                             pa.array(crcs, pa.int64()),
                         ],
                         [x.split()[0] for x in schema.split(", ")],

@@ -1,0 +1,21 @@
+"""Records of the token files by the perfect hash."""
+
+import numpy as np
+
+from quernel.llm.token_files import Index, looked_up, scan_token_files, write_token_files
+
+
+def test_token_records_come_from_the_lookup(spark, tmp_path, monkeypatch):
+    keys = [None, None, 0, 3, 3, 3, 9, 12, 12]
+    index = Index.unpack(Index.pack(keys, [2] * len(keys)))
+    assert looked_up(index).tolist() == list(range(len(keys)))
+    index.records = np.roll(index.records, 1)
+    assert (looked_up(index)[2:] == -1).all()
+    index = Index.unpack(Index.pack([1, 2, 3], [5, 6, 7]))
+    found = index.find
+    monkeypatch.setattr(index, "find", lambda wanted: found(np.where(wanted == 2, 99, wanted)))
+    assert looked_up(index).tolist() == [0, -1, 2]
+    docs = spark.createDataFrame([(k, f"text {n} of them") for n, k in enumerate(keys)] + [(20, None)], "doc_id long, text string")
+    manifest = write_token_files(docs, f"file://{tmp_path}", shards=2)
+    rows = sorted(scan_token_files(spark, f"file://{tmp_path}", manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [*keys, 20] and [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows[:-1]]]).tolist()
