@@ -1,0 +1,10 @@
+"""The labelled URLs."""
+
+import pytest
+
+from quernel.llm.url_filter import ALLOW_WORDS, BLOCK_WORDS
+
+
+@pytest.mark.parametrize("word", ["tionble", "therou", "ththing", "tionsh", "casino-win"])
+def test_labelled_hosts_are_not_those_of_the_tables(word):
+    assert word not in ALLOW_WORDS + BLOCK_WORDS
