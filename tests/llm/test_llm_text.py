@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import struct
 import zlib
 from collections import Counter
 
@@ -14,7 +13,6 @@ from quernel.llm.bpe import LONG_WORD, RankArrayBPE, bpe_digests, bpe_tokens
 from quernel.llm.language_id import Field, Labeller, core, fit, held_out, identify, keep_identified, learn, marginals
 from quernel.llm.quality import quality_rules, text_rules
 from quernel.llm.token_counts import token_counts
-from quernel.llm.token_files import Index, PerfectHash, read_ids, scan_token_files, token_files, write_token_files
 from quernel.llm.word_pieces import load_tokenizer, segments, tokenizer_path
 
 ODD = [None, "", " ", "\n", "a\t b", "a\t\n b", "x  y  ", "<|endoftext|>", "foo  <|endoftext|> bar<|startoftext|>", "Don't WE'LL 12 345 ½ ² 一二", "e\u0301 É", "a\x1c b\x85 c", "🙂🙂 a", "\r\n\r\n a", "Word, word. WORD,. x.y 1,2", "ab" * 900, "the quick brown fox " * 3000]
@@ -71,32 +69,6 @@ def test_long_words_merge_in_the_same_order():
         assert [word[a:b] for a, b in zip(bounds, [*bounds[1:], len(word)])] == [bpe.bytes_of[i] for i in ids]
 
 
-def test_token_files(spark, docs, tmp_path):
-    tokenizer = load_tokenizer(tokenizer_path("word_bpe_49k.json"))
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
-    want, start = Counter(), 0
-    for r in rows:
-        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
-        want[r.doc_id, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += 1
-        start += len(ids)
-    assert Counter(map(tuple, token_files(docs, shards=3).collect())) == want
-    path = f"file://{tmp_path}/ids"
-    manifest = write_token_files(docs, path, shards=3)
-    assert [tokenizer.encode(r.text or "", add_special_tokens=False).ids for r in rows if r.doc_id == 14] == [x[:-1] for x in read_ids(path, manifest, 14)]
-    assert len(read_ids(path, manifest, 3)) == 3 and read_ids(path, manifest, 10**9) == []
-    assert token_files(docs.where("false")).count() == 0
-    assert scan_token_files(spark, path, manifest).count() == len(rows)
-
-
-@pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
-def test_perfect_hash(n):
-    keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
-    assert sorted(PerfectHash.build(keys).slots(keys)) == list(range(len(keys)))
-    index = Index.unpack(Index.pack([None, *keys.tolist()], [3] * (len(keys) + 1)))
-    assert (index.find(keys) == np.arange(1, len(keys) + 1)).all()
-    assert (index.find(np.arange(2**62 + 1, 2**62 + 50)) == -1).all()
-
-
 def plain_rules(text, least):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n, longest = len(words), 0
