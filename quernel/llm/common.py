@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new one where it is unset."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a new local one, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = "file://" + tempfile.mkdtemp(prefix="quernel-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -80,19 +83,20 @@ def texts_of(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rows_by_bytes(batches: Iterable[pa.RecordBatch], limit: int, text: str = "text") -> Iterator[tuple[list, list[str]]]:
-    """Rows of Arrow batches, dealt anew into groups of about ``limit`` characters of text."""
+    """Rows of Arrow batches, dealt anew into groups of about ``limit`` bytes of text."""
     ids: list = []
     texts: list[str] = []
     held = 0
     for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column(text).to_pylist()):
-            t = t or ""
-            if held and held + len(t) > limit:
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
+        for i, t, size in zip(batch.column("doc_id").to_pylist(), batch.column(text).to_pylist(), sizes):
+            size = size or 0
+            if held and held + size > limit:
                 yield ids, texts
                 ids, texts, held = [], [], 0
             ids.append(i)
-            texts.append(t)
-            held += len(t)
+            texts.append(t or "")
+            held += size
     if ids:
         yield ids, texts
 

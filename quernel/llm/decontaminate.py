@@ -46,7 +46,7 @@ SHORT, LONG = 8, 24
 COMMON = 0.02
 #: A passage has so many of the columns' terms at least, or a third of the terms of the item with the fewest.
 LEAST_TERMS = 3
-GROUP_CHARS = 2 << 20
+GROUP_BYTES = 2 << 20
 #: Columns of a row of partial sums, and groups of tasks that are added up first.
 PART, SALTS = 64, 32
 #: Rows that are gathered and added at a time, so that they stay in the cache; terms of documents that are sketched at a time.
@@ -235,7 +235,7 @@ TERMS = "place array<int>, column array<int>"
 
 
 def _term_table(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in rows_by_bytes(batches, GROUP_CHARS):
+    for _, texts in rows_by_bytes(batches, GROUP_BYTES):
         owner, place, column = shared.value.terms(texts)
         cuts = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
         lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (place, column)]
@@ -339,7 +339,7 @@ PAIRS = "doc_id long, item_id long, cosine double, share double, answered boolea
 
 
 def _pairs(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in rows_by_bytes(batches, GROUP_CHARS):
+    for ids, texts in rows_by_bytes(batches, GROUP_BYTES):
         found = [(ids[t], shared.value.items[i].item_id, c, s, a) for t, i, c, s, a in shared.value.find(texts)]
         columns = list(zip(*found)) or [()] * 5
         types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]

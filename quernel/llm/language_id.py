@@ -27,7 +27,7 @@ SAMPLE, SAMPLE_CHARS = 100, 20_000
 #: Features that are kept at most, and words in each language's lexicon.
 FEATURES, LEXICON = 60_000, 1_500
 SPLICE, LENGTH, STEPS = 40, 200, 40
-BLOCK, GROUP_CHARS, KEPT = 128, 1 << 20, 300_000
+BLOCK, GROUP_BYTES, KEPT = 128, 1 << 20, 300_000
 UNKNOWN = "und"
 
 
@@ -300,7 +300,7 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value) if shared.value else None
-        for ids, texts in rows_by_bytes(batches, GROUP_CHARS):
+        for ids, texts in rows_by_bytes(batches, GROUP_BYTES):
             got = labeller.label(texts) if labeller else [(UNKNOWN, 0.0)] * len(texts)
             yield pa.record_batch(
                 [pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],

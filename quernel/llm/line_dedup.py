@@ -33,7 +33,7 @@ STRIP = b" \t\n\x0b\x0c\r"
 #: Frequent keys that a shard's filter is meant for, and lines that a probing task group holds.
 SHARD_KEYS, GROUP_LINES = 100_000, 100_000
 SLOTS, ROUNDS = 4, 300
-BATCH_CHARS = 2 << 20
+BATCH_BYTES = 2 << 20
 
 
 def key_of(line: bytes) -> bytes:
@@ -158,7 +158,7 @@ def line_keys(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_by_bytes(batches, BATCH_CHARS):
+        for ids, texts in rows_by_bytes(batches, BATCH_BYTES):
             digests, owners = [], []
             for doc_id, text in zip(ids, texts):
                 keys = {k for line in text.encode().split(b"\n") if counts_as_long(k := key_of(line), least)}

@@ -33,7 +33,7 @@ PIVOTS = (1, 3, None)
 PARTS = 128
 #: Texts of a block of a band.
 BLOCK = 256
-GROUP_CHARS = 1 << 19
+GROUP_BYTES = 1 << 19
 
 
 def _hashes() -> bag.WordHashes:
@@ -46,7 +46,7 @@ def signed(docs: DataFrame, slots: int = bag.SLOTS) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_by_bytes(batches, GROUP_CHARS):
+        for ids, texts in rows_by_bytes(batches, GROUP_BYTES):
             raw = [t.encode() for t in texts]
             owner, item = bag.shingle_hashes(raw, _hashes())
             bands = bag.band_keys(bag.signatures(*bag.weighted(owner, item), len(raw), slots))

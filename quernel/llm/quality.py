@@ -25,7 +25,7 @@ LEAST = 3
 MOST_SHARE, LONGEST = 0.3, 100
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-GROUP_CHARS = 2 << 20
+GROUP_BYTES = 2 << 20
 
 
 def doubled_ranks(first: np.ndarray, stop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -142,7 +142,7 @@ def quality_rules(docs: DataFrame, least: int = LEAST, most_share: float = MOST_
     names = ["doc_id", *COUNTS, "base_failed", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_by_bytes(batches, GROUP_CHARS):
+        for ids, texts in rows_by_bytes(batches, GROUP_BYTES):
             got = text_rules(texts, least)
             n = got["n_words"]
             failed = (n < 50) | (100 * got["n_repeat_words"] > 50 * n)
