@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: small, so that a Python worker's memory
@@ -72,6 +72,39 @@ def drop_stored(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
+#: Keys that are split at most; their list is broadcast.
+HEAVY = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int, counts: DataFrame | None = None, hint: str | None = None) -> DataFrame:
+    """``left`` joined with ``right``, of one row a key; a key of more than ``rows`` rows of ``left`` is dealt into parts by ``by``.
+
+    The HEAVY heaviest keys are split, so that of any other one a task gets less
+    than a HEAVY-th of all rows.  counts: key and count, where they are at hand.
+    ``left`` is read twice and should be a stored table.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("count")) if counts is None else counts
+    heavy = counts.where(F.col("count") > rows).orderBy(F.desc("count"), key).limit(HEAVY).collect()
+    hinted = lambda df: df.hint(hint) if hint else df
+    if not heavy:
+        return left.join(hinted(right), key)
+    listed = [(r[key], -(-r["count"] // rows)) for r in heavy]
+    parts = F.broadcast(left.sparkSession.createDataFrame(listed, f"{key} {left.schema[key].dataType.simpleString()}, parts_ long"))
+    number = F.coalesce("parts_", F.lit(1))
+    dealt = left.join(parts, key, "left").withColumn("part_", F.pmod(F.xxhash64(F.lit(29), by), number)).drop("parts_")
+    copies = right.join(parts, key, "left").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), number - 1))).drop("parts_")
+    return dealt.join(hinted(copies), [key, "part_"]).drop("part_")
+
+
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
