@@ -176,7 +176,7 @@ def bpe_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFr
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip for every row of ``docs``.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs``.
 
     A null or empty text has no ids and an empty decoded text; special tokens'
     strings within a text become those tokens; repeated rows give repeated rows;

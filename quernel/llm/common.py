@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes of one Arrow batch: small, so that a Python worker's memory
 #: doesn't depend on how long the texts are.
@@ -81,6 +82,23 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [named(c) for c in df.columns]
 
 
+def map_rows(df: DataFrame, run, fields: list[StructField] | None = None) -> DataFrame:
+    """mapInArrow of ``run`` from Arrow batches to batches of ``fields`` (df's own if None), whatever the columns are named.
+
+    Spark itself resolves names with dots or quotes otherwise, so the columns
+    go by their numbers in between.
+    """
+    names, fields = df.columns, df.schema.fields if fields is None else fields
+    numbered = [f"c{i}" for i in range(len(fields))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns(numbered)
+
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(numbered, fields)])
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(renamed, schema).toDF(*(f.name for f in fields))
+
+
 #: Keys that are split at most; their list is broadcast.
 HEAVY = 10_000
 

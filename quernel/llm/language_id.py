@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_by_bytes, small_batches, texts_of
+from .common import map_rows, rows_by_bytes, small_batches, texts_of
 
 #: The bounded sample to learn from: documents a language (about), and the characters of each at most.
 SAMPLE, SAMPLE_CHARS = 100, 20_000
@@ -314,17 +314,24 @@ def keep_identified(docs: DataFrame, least: float = 0.3, field: Field | None = N
     """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more.
 
     Rejected: null texts, texts without a letter, and texts of which no language
-    has that share of the words' probability.  If no row can be learned from, all rows go.
+    has that share of the words' probability.  A table with rows of which none
+    can be learned from (no text with a lang that isn't held out) is an error,
+    since nothing could be told apart; an empty one gives an empty one.  Other
+    columns, repeated rows and null ids stay as they are.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(field or learn(docs))
+    field = field or learn(docs)
+    if field is None:
+        if not docs.isEmpty():
+            raise ValueError("no labelled document to learn languages from")
+        return docs
+    shared = spark.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value) if shared.value else None
+        labeller = Labeller(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            got = labeller.label(texts) if labeller else [(UNKNOWN, 0.0)] * len(texts)
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got]))
+            got = labeller.label([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from .common import rows_by_bytes, small_batches, stored, texts_of
+from .common import columns_of, map_rows, rows_by_bytes, small_batches, stored, texts_of
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 STRIP = b" \t\n\x0b\x0c\r"
@@ -190,7 +191,12 @@ class LineDedup:
         return pairs.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
     def insert(self, docs: DataFrame) -> LineDedup:
-        """Adds documents; those of a doc_id that is there already must be deleted first."""
+        """Adds documents; one of a doc_id that is there already takes the old one's place."""
+        if self.shards is not None:
+            ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+            again = stored(self.lines.select("doc_id").distinct().join(ids, "doc_id", "left_semi"), "again")
+            if not again.isEmpty():
+                self.delete(again)
         new = stored(line_keys(docs, self.least_chars), "lines")
         added = self._count(new)
         first = self.shards is None
@@ -221,8 +227,11 @@ class LineDedup:
     def _refilter(self, counts: DataFrame) -> None:
         """Brings the filters from the present counts to ``counts``: keys that become frequent go in, others come out."""
         old, new = self._frequent(self.counts).select("a", "b"), self._frequent(counts).select("a", "b")
-        if self.shards is None:
-            self.shards = max(1, -(-new.count() // SHARD_KEYS))
+        n = new.count()
+        if self.shards is None or n > 2 * SHARD_KEYS * self.shards:
+            # the filters are made anew, for as many shards as the keys need
+            self.shards = max(self.shards or 1, -(-n // SHARD_KEYS))
+            self.filters = self.spark.createDataFrame([], FILTERS)
             change = new.withColumn("put", F.lit(True))
         else:
             into, out = new.join(old, ["a", "b"], "left_anti"), old.join(new, ["a", "b"], "left_anti")
@@ -266,24 +275,28 @@ class LineDedup:
         lost = self.passing(lines).join(frequent, ["a", "b"]).where("doc_id < last_doc")
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("keys"))
 
-    def clean(self, docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-        """All columns of ``docs`` with text cleaned, plus n_lines and n_dropped; lines: line_keys(docs) if at hand.
+    def clean(self, docs: DataFrame, lines: DataFrame | None = None, counted: bool = True, counted_chars: str | None = None) -> DataFrame:
+        """All columns of ``docs`` with text cleaned, plus n_lines and n_dropped if ``counted``; lines: line_keys(docs) if at hand.
 
         Keys found in ``least_docs`` documents or more lose their lines except in
         the largest doc_id that holds them.  A null or empty text is one empty
         line; a null text becomes empty.  Rows without a doc_id aren't counted
         and keep all their lines; rows of one doc_id count as one document.
+        Columns of ``docs`` that are named n_lines or n_dropped give way to the
+        counts.  counted_chars: a column of docs that holds a text's number of
+        characters, brought up to date where lines go.
         """
         lines = line_keys(docs, self.least_chars) if lines is None else lines
         taken = {c.lower() for c in docs.columns}
         own = next(n for i in range(len(taken) + 1) if (n := f"keys_{i}") not in taken)
         lost = self.drops(lines).select(F.col("doc_id"), F.col("keys").alias(own))
-        joined = docs.join(lost, "doc_id", "left").select(*(F.col(f"`{c}`") for c in docs.columns), own)
-        return self._rewritten(joined, docs, own)
+        joined = docs.join(lost, "doc_id", "left").select(*columns_of(docs), own)
+        return self._rewritten(joined, docs, own, ("n_lines", "n_dropped") if counted else (), counted_chars)
 
-    def _rewritten(self, joined: DataFrame, docs: DataFrame, own: str) -> DataFrame:
+    def _rewritten(self, joined: DataFrame, docs: DataFrame, own: str, counts: tuple, chars: str | None) -> DataFrame:
         small_batches(self.spark)
-        least, columns = self.least_chars, docs.columns
+        least, fields = self.least_chars, [f for f in docs.schema if f.name.lower() not in counts]
+        columns = [f.name for f in fields]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -297,11 +310,14 @@ class LineDedup:
                     n_lines.append(len(parts))
                     n_dropped.append(len(parts) - len(kept))
                     texts.append(text or "" if len(kept) == len(parts) else b"\n".join(kept).decode())
-                out = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in columns]
-                yield pa.record_batch([*out, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*columns, "n_lines", "n_dropped"])
+                made = {"text": pa.array(texts, pa.string())}
+                if chars:
+                    held = batch.column(chars)
+                    made[chars] = pa.array([len(t) if d else n for t, d, n in zip(texts, n_dropped, held.to_pylist())], held.type)
+                out = [made[n] if n in made else batch.column(n) for n in columns]
+                yield pa.record_batch([*out, *(pa.array(x, pa.int64()) for x in (n_lines, n_dropped)[: len(counts)])], [*columns, *counts])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return joined.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+        return map_rows(joined, run, fields + [StructField(n, LongType()) for n in counts])
 
 
 def _hash(key: bytes) -> tuple[int, int]:
@@ -309,10 +325,10 @@ def _hash(key: bytes) -> tuple[int, int]:
     return tuple(int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, counted: bool = True, counted_chars: str | None = None, **options) -> DataFrame:
     """LineDedup(...).insert(docs).clean(docs), with the lines read once."""
     state = LineDedup(docs.sparkSession, **options).insert(docs)
-    return state.clean(docs, state.lines)
+    return state.clean(docs, state.lines, counted, counted_chars)
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
