@@ -7,8 +7,8 @@ window over a conversation's turns; two seeds give 128 bits.  A conversation
 whose whole hash is another's proper prefix goes by an anti-join, exact copies
 become one, and only those that are left are rendered.
 
-The window streams over hashes, not texts; texts move once, for the
-conversations that are left.  Prefixes and copies are aggregated before the
+The window streams over hashes, not texts; texts are aggregated and rendered
+for the conversations that are left alone, after a semi-join.  Prefixes and copies are aggregated before the
 join, so a first turn that a third of all conversations share is one row in it.
 """
 
@@ -76,7 +76,7 @@ def format_chats(conversations: DataFrame, head: str = HEAD, foot: str = FOOT) -
     conversation is one row of the result, so its turns meet in one task.
     """
     kept = maximal_conversations(conversations)
-    turns = _turns(conversations).groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "a", "b", "role", "text"))).alias("turns"))
+    turns = _turns(conversations).join(kept.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "a", "b", "role", "text"))).alias("turns"))
     null_first = F.array_sort(
         "turns",
         lambda x, y: F.when(x["turn"].isNull() & y["turn"].isNotNull(), -1)
