@@ -9,7 +9,9 @@ join and no shuffle.
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,20 +29,13 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: What the labelled table is made from: words in hosts of either kind, none taken from a table that is judged, and paths.
-BLOCK_WORDS = ("casino", "roulette", "poker", "bet-now", "slots", "jackpot", "lottery", "xxx", "porn", "adult-cams", "escort", "pills", "viagra", "payday-loan", "warez", "crack-keys", "free-followers", "click-bait", "spam", "phish-login")
-ALLOW_WORDS = ("news", "library", "university", "science", "museum", "journal", "docs", "wiki", "weather", "recipes", "gardening", "history", "theatre", "orchard", "botany", "railway", "forum", "archive", "school", "open-data")
+def labelled_urls(part: str = "train") -> list[tuple[str, int]]:
+    """Rows of the labelled URL table that comes with the package, 1 to block: those of the part "train" or "held_out".
 
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled URL table: 80 rows, 1 to block."""
-    out = []
-    for n, (bad, good) in enumerate(zip(BLOCK_WORDS, ALLOW_WORDS)):
-        tld, lang = ("com", "net", "org", "info")[n % 4], ("en", "de", "fr", "es")[n // 4 % 4]
-        for label, word in ((1, bad), (0, good)):
-            out.append((f"https://www.{word}.example.{tld}/{lang}/{1000 + 37 * n}", label))
-            out.append((f"http://blog.{word}.example.{tld}/{lang}/{9000 - 53 * n}.html", label))
-    return out
+    No host name is in both parts, and none is taken from a table that is judged.
+    """
+    with (resources.files(__package__) / "labelled_urls.csv").open() as f:
+        return [(r["url"], int(r["block"])) for r in csv.DictReader(f) if r["part"] == part]
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
