@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, rows_by_bytes, small_batches, stored, texts_of
+from .common import drop_stored, map_rows, rows_by_bytes, small_batches, stored, texts_of
 
 RANK, EXTRA, COLUMNS, BLOCK_ITEMS = 256, 16, 1 << 15, 20_000
 WORDS = 32
@@ -305,7 +305,7 @@ def leading(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
 
 def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | None:
     """The latent space of the passages of ``docs`` and of one block of the benchmark; None if that has no words."""
-    rows = benchmark.select("item_id", "text").where("text IS NOT NULL").collect()  # BLOCK_ITEMS at most
+    rows = benchmark.where("text IS NOT NULL").collect()  # about BLOCK_ITEMS at most
     items = [i for r in sorted(rows, key=lambda r: (r.item_id is not None, r.item_id, r.text)) if (i := Item.of(r.item_id, r.text)).words]
     if not items:
         return None
@@ -330,9 +330,10 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | None
 
 
 def _spaces(docs: DataFrame, benchmark: DataFrame) -> list[Space]:
-    blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
-    of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [s for b in range(blocks) if (s := fit(texts_of(docs), benchmark.where(of == b)))]
+    items = benchmark.select("item_id", "text").distinct()
+    blocks = -(-items.count() // (BLOCK_ITEMS * 9 // 10))  # dealt by hash, so a block may have some more than its share
+    of = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
+    return [s for b in range(blocks) if (s := fit(texts_of(docs), items.where(of == b)))]
 
 
 PAIRS = "doc_id long, item_id long, cosine double, share double, answered boolean"
@@ -351,8 +352,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     share: of the item's words, in order, near the passage; answered: whether
     most of its last sentence is there too.  Null and empty texts hold nothing,
-    and an empty benchmark gives an empty result.  Repeated documents and items
-    give repeated rows; null ids stay null; other columns are ignored.
+    and an empty benchmark gives an empty result.  Repeated documents give
+    repeated rows, repeated items count once; null ids stay null; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -377,5 +379,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(spark)
     out = docs
     for space in _spaces(docs, benchmark):
-        out = out.mapInArrow(partial(_clean, spark.sparkContext.broadcast(space)), docs.schema)
+        out = map_rows(out, partial(_clean, spark.sparkContext.broadcast(space)))
     return out
