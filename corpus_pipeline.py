@@ -1,7 +1,11 @@
 """The corpus pipeline: five operators of quernel.llm, one after the other.
 
 Each stage works on all that the one before it kept.  Between stages the
-documents are a Parquet table in the shared folder.
+documents are a Parquet table in the shared folder.  A stage needs the columns
+doc_id and text, the first one lang too; all others pass through, whatever their
+names.  Null and empty texts have no language and go first; rows of one doc_id
+are one document, of which near-dedup keeps a row; rows without a doc_id keep
+their lines and have no near copies; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -23,10 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines go, except from the last document that holds them; n_chars follows the text."""
-    cleaned = dedup_lines(docs)
-    counted = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", counted).select(docs.columns)
+    """Frequent lines go, except from the last document that holds them; n_chars, if there, follows the text."""
+    return dedup_lines(docs, counted=False, counted_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
