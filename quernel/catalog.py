@@ -7,22 +7,24 @@ headings and wikilinks, and for a link graph: each turn links to the one before.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import Config, Search
+from .config import Config, Index, Search
 from .functions import text as tx
 from .functions.embed import HashingEmbedder, embed_chunks
 from .functions.frontmatter import frontmatter
 from .operators import chunks, fulltext, graph, hybrid, links, vectors
 from .operators.context import context_window
 from .plans import index
+from .plans.engine import Engine
 from .plans.query_language import parse
 from .sources import notes as folder
+from .sources.scratch import shared_folder
+from .streaming import watch as watching
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,14 +133,18 @@ def _fields(words: str, boost: float = 1.0) -> list[tuple[str, str, float]]:
 # Sources.
 
 
-@query(f"WITH {NOTES} SELECT path, strlen(body)::BIGINT AS length, sha256(body) AS content_hash FROM notes")
+@query(f"WITH {NOTES} SELECT path, strlen(body)::BIGINT AS length, sha256(body) AS content_hash FROM notes WHERE doc_id % 10 NOT IN (1, 2, 3, 4)")
 def scan_notes(spark, d):
-    return notes(spark, d).select("path", F.octet_length("content").cast("long").alias("length"), tx.content_hash(F.col("content")).alias("content_hash"))
+    """The documents as files, some in excluded folders, some of other kinds."""
+    n, path = F.col("doc_id") % 10, F.col("path")
+    placed = F.when(n == 1, F.concat(F.lit(".git/"), path)).when(n == 2, F.concat(path, F.lit(".txt"))).when(n == 3, F.concat("title", F.lit("/node_modules/x.md"))).when(n == 4, F.concat(path, F.lit("/.md")))
+    files = notes(spark, d).withColumn("path", F.coalesce(placed, path))
+    return folder.notes_of(files).select("path", F.octet_length("content").cast("long").alias("length"), tx.content_hash(F.col("content")).alias("content_hash"))
 
 
 @query(f"WITH {NOTES} SELECT path, body AS content FROM notes WHERE path = 'src3/3.md'")
 def note_get(spark, d):
-    return notes(spark, d).where(F.col("path") == "src3/3.md").select("path", "content")
+    return folder.find_note(notes(spark, d), "src3/3.md")
 
 
 @query(f"WITH {NOTES} SELECT DISTINCT string_split(path, '/')[1] AS name, true AS is_dir, string_split(path, '/')[1] AS path FROM notes")
@@ -169,6 +175,26 @@ def token_estimate(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
 
 
+WIDE = "replace(replace(text, 'e', '好'), 'a', '日é')"
+
+
+@query(f"SELECT doc_id, (len(regexp_replace({WIDE}, '[\\x{{0}}-\\x{{2FFF}}]', '', 'g')) * 10 // 15 + (len({WIDE}) - len(regexp_replace({WIDE}, '[\\x{{0}}-\\x{{2FFF}}]', '', 'g'))) // 4 + 1)::INTEGER AS tokens FROM documents")
+def token_estimate_wide(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.estimate_tokens(F.expr(WIDE)).alias("tokens"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, repeat(' ', conv_id % 4) || repeat('#', 1 + turn) || CASE conv_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '' ELSE '   ' END || 'Turn ' || turn || CASE WHEN conv_id % 2 = 0 THEN '  ' ELSE '' END AS line,
+  conv_id % 3 <> 1 AND turn < 6 AS heads FROM conversations)
+SELECT conv_id, turn, line, CASE WHEN heads THEN 1 + turn ELSE 0 END::INTEGER AS level, CASE WHEN heads THEN 'Turn ' || turn ELSE '' END AS heading FROM l""")
+def heading_levels(spark, d):
+    """Headings of one to eight marks, indented, spaced out, or without a space."""
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id")
+    gap = F.when(conv % 3 == 0, " ").when(conv % 3 == 1, "").otherwise("   ")
+    line = F.concat(F.repeat(F.lit(" "), (conv % 4).cast("int")), F.repeat(F.lit("#"), (F.col("turn") + 1).cast("int")), gap, F.lit("Turn "), turn, F.when(conv % 2 == 0, "  ").otherwise(""))
+    made = read(spark, d, "conversations").select("conv_id", "turn", line.alias("line"))
+    return made.select("conv_id", "turn", "line", tx.heading_level(F.col("line")).alias("level"), tx.heading_text(F.col("line")).alias("heading"))
+
+
 @query(f"WITH {MARKDOWN}, l AS (SELECT path, unnest({LINES_OF.format('content')}) AS line FROM markdown) SELECT path, line, 2 AS level, line[4:] AS heading FROM l WHERE line LIKE '## %'")
 def heading_detect(spark, d):
     each = markdown(spark, d).select("path", F.explode(tx.lines(F.col("content"))).alias("line"))
@@ -180,6 +206,21 @@ def frontmatter_parse(spark, d):
     return markdown(spark, d).withColumn("fm", frontmatter("content")).select("path", "fm.title", "fm.tags", "fm.summary", "fm.body_start")
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 IN (2, 3) THEN 'Note ' || doc_id END AS title,
+  CASE doc_id % 5 WHEN 2 THEN ['ai', 'b ' || doc_id] WHEN 3 THEN ['single'] ELSE []::VARCHAR[] END AS tags,
+  CASE WHEN doc_id % 5 = 1 THEN '---' || chr(10) || 'title: T' || chr(10) ELSE '' END || 'Body of ' || doc_id || ', in ' || lang || '.' AS body FROM documents""")
+def frontmatter_variants(spark, d):
+    """None, one that isn't closed, a list of tags, a single tag, and one with a summary alone."""
+    doc, rest = F.col("doc_id").cast("string"), F.concat(F.lit("Body of "), F.col("doc_id").cast("string"), F.lit(", in "), "lang", F.lit("."))
+    heads = [
+        F.lit(""), F.lit("---\ntitle: T\n"), F.concat(F.lit("---\ntitle: Note "), doc, F.lit("\ntags:\n  - Ai\n  - B "), doc, F.lit("\n---\n")),
+        F.concat(F.lit("---\ntitle: Note "), doc, F.lit("\ntags: Single\n---\n")), F.lit("---\nsummary: Given\n---\n"),
+    ]
+    content = F.concat(F.element_at(F.array(*heads), (F.col("doc_id") % 5 + 1).cast("int")), rest)
+    made = read(spark, d, "documents").select("doc_id", content.alias("content")).withColumn("fm", frontmatter("content"))
+    return made.select("doc_id", "fm.title", "fm.tags", "fm.body")
+
+
 CHUNKS = """RECURSIVE {notes}, l AS (SELECT doc_id, x.i AS i, x.line AS line, (len(x.line) // 4 + 1) AS cost, trim(x.line) <> '' AS filled
   FROM (SELECT doc_id, unnest(list_transform({lines}, lambda x, i: {{'i': i, 'line': x}})) AS x FROM notes)),
 fold AS (SELECT doc_id, i, 0 AS chunk_ix, i AS first, cost AS spent, filled FROM l WHERE i = 1
@@ -221,6 +262,17 @@ def wikilink_resolve(spark, d):
     return links.extract_links(markdown(spark, d))
 
 
+@query(f"""WITH {NOTES}, found AS (SELECT path AS source_path, 'See [[' || (doc_id // 2) || ']], [[src3/3]] and [[none]].' AS context, doc_id // 2 AS target FROM notes)
+SELECT source_path, n.path AS target_path, context FROM found JOIN notes n ON n.doc_id = found.target UNION SELECT source_path, 'src3/3.md', context FROM found""")
+def wikilink_names(spark, d):
+    """Links by a bare name that a note in a deeper folder has too, and by a whole path."""
+    held = notes(spark, d)
+    context = F.concat(F.lit("See [["), F.floor(F.col("doc_id") / 2).cast("string"), F.lit("]], [[src3/3]] and [[none]]."))
+    plain = held.select("path", context.alias("content"))
+    deep = held.where("doc_id % 2 = 0").select(F.concat(F.lit("deep/er/"), "path").alias("path"), F.lit("").alias("content"))
+    return links.extract_links(plain.unionByName(deep))
+
+
 # Full text.
 
 
@@ -258,14 +310,14 @@ def bm25_multi_field(spark, d):
     return _search(spark, d, f"{WORDS} en 12")
 
 
-@query(f"WITH {_bm25(_fields('from which'), 'list_has_any(hit, [' + repr('title:from') + ',' + repr('body:from') + ',' + repr('tags:from') + ']) AND list_has_any(hit, [' + repr('body:which') + '])')} SELECT * FROM found")
+@query(f"WITH {_bm25(_fields('from this'), 'list_contains(hit, ' + repr('body:from') + ') AND list_contains(hit, ' + repr('body:this') + ')')} SELECT * FROM found")
 def fts_and(spark, d):
-    return _search(spark, d, "from AND which")
+    return _search(spark, d, "from AND this")
 
 
-@query(f"WITH {_bm25(_fields('from'), 'path NOT IN (SELECT path FROM places WHERE term = ' + repr('which') + ')')} SELECT * FROM found")
+@query(f"WITH {_bm25(_fields('from'), 'path NOT IN (SELECT path FROM places WHERE term = ' + repr('this') + ')')} SELECT * FROM found")
 def fts_not(spark, d):
-    return _search(spark, d, "from -which")
+    return _search(spark, d, "from -this")
 
 
 @query(f"WITH {_bm25([('tags', 'fr', 1.0), ('title', '6', 1.0)])} SELECT * FROM found")
@@ -305,6 +357,11 @@ def fts_set(spark, d):
     return _search(spark, d, "tags:IN [fr de]")
 
 
+@query(f"WITH {NOTES}, n AS (SELECT count(*) AS docs FROM notes) SELECT path, title, round(ln(1 + (docs - 1 + 0.5E0) / 1.5E0), 6) AS score FROM notes, n WHERE path = 'src3/3.md'")
+def fts_path(spark, d):
+    return _search(spark, d, 'path:"src3/3.md"')
+
+
 @query(f"WITH {_bm25(_fields(WORDS))} SELECT * FROM found")
 def fts_index_search(spark, d):
     docs = fulltext.documents(notes(spark, d))
@@ -329,7 +386,7 @@ SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 def knn_batch(spark, d):
     held = read(spark, d, "embeddings")
     queries = held.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.knn_batch(held, queries, 10)
+    return vectors.knn_batch(held, queries, 10, digits=DIGITS)
 
 
 @query(f"WITH {SCORED} SELECT path, score FROM (SELECT * FROM scored ORDER BY score DESC, path LIMIT 50) WHERE path LIKE 'src1%'")
@@ -381,16 +438,16 @@ def hybrid_exclude(spark, d):
     return hybrid.exclude(_hybrid(spark, d, 40), ["src1", "src2/"]).select("path", "score")
 
 
-@query(f"WITH {_fused(40)} SELECT path, score FROM results WHERE score >= 0.25")
+@query(f"WITH {_fused(40)} SELECT path, score FROM results WHERE score >= 0.28")
 def hybrid_threshold(spark, d):
-    return hybrid.threshold(_hybrid(spark, d, 40), 0.25).select("path", "score")
+    return hybrid.threshold(_hybrid(spark, d, 40), 0.28).select("path", "score")
 
 
-@query(f"WITH {_fused(40)} SELECT path, score FROM results WHERE path IN (SELECT n.path FROM notes n JOIN events e ON e.event_id = n.doc_id WHERE e.ts >= TIMESTAMP '2024-01-01' AND date_trunc('second', e.ts) >= TIMESTAMP '2024-01-01')")
+@query(f"WITH {_fused(40)} SELECT path, score FROM results WHERE path IN (SELECT n.path FROM notes n JOIN events e ON e.event_id = n.doc_id WHERE date_trunc('second', e.ts) >= TIMESTAMP '2024-01-02')")
 def hybrid_since(spark, d):
     changed = read(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("modified"))
     dated = notes(spark, d).join(changed, "doc_id").select("path", "modified")
-    return hybrid.since(_hybrid(spark, d, 40), dated, "2024-01-01").select("path", "score")
+    return hybrid.since(_hybrid(spark, d, 40), dated, "2024-01-02").select("path", "score")
 
 
 # Graph.
@@ -482,27 +539,71 @@ def index_stats(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which all nodes share; in a folder of its own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quernel-")
-    return f"{root.rstrip('/')}/quernel/index-{uuid.uuid4().hex}"
+    """A new path in the folder that all nodes share."""
+    return f"{shared_folder(spark)}/quernel/index-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {MARKDOWN} SELECT path, sha256(content) AS content_hash FROM markdown WHERE conv_id % 3 <> 0")
-def incremental_refresh(spark, d):
-    """Two refreshes of a store, the second after a third of the notes went; its manifest."""
-    store = index.Store(spark, _scratch(spark))
-    base = markdown(spark, d).withColumn("modified", F.lit("2024-01-01").cast("timestamp"))
-    index.refresh(store, base, Config().validated())
-    index.refresh(store, base.where("conv_id % 3 <> 0"), Config().validated())
-    store.drop_old(1)
-    return store.table("manifest")
+def _dated(spark, d) -> DataFrame:
+    return markdown(spark, d).withColumn("modified", F.lit("2024-01-01").cast("timestamp"))
+
+
+def _edited(base: DataFrame) -> DataFrame:
+    """The notes after some went, some came, and some were changed."""
+    more = F.when(F.col("conv_id") % 4 == 1, F.lit("\n## Added\nwords that are new\n")).otherwise("")
+    return base.where("conv_id % 3 <> 0").withColumn("content", F.concat("content", more))
+
 
+REFRESHED = f"""{MARKDOWN}, edited AS (SELECT conv_id, path, content || CASE WHEN conv_id % 4 = 1 THEN chr(10) || '## Added' || chr(10) || 'words that are new' || chr(10) ELSE '' END AS content FROM markdown WHERE conv_id % 3 <> 0)"""
 
-@query(f"""WITH {NOTES}, l AS (SELECT path, unnest(list_transform({LINES_OF.format('body')}, lambda x, i: {{'i': i, 'line': x}})) AS x FROM notes)
-SELECT path, 3 AS start_line, x.i::INTEGER AS line_no, x.line AS line, x.i BETWEEN 3 AND 4 AS is_match FROM l WHERE x.i BETWEEN 1 AND 6""")
+
+def _refreshed(spark, d) -> index.Store:
+    """A store after two refreshes; the second one finds new, changed and deleted notes."""
+    store, settings = index.Store(spark, _scratch(spark)), Config(index=Index(max_chunk_tokens=100_000)).validated()
+    base = _dated(spark, d)
+    index.refresh(store, base.where("conv_id % 5 <> 0"), settings, HashingEmbedder())
+    index.refresh(store, _edited(base), settings, HashingEmbedder())
+    return store
+
+
+@query(f"WITH {REFRESHED} SELECT path, sha256(content) AS content_hash FROM edited")
+def incremental_refresh(spark, d):
+    """The manifest after two refreshes."""
+    return _refreshed(spark, d).table("manifest")
+
+
+@query(f"""WITH {REFRESHED}, bodies AS (SELECT conv_id, path, string_split(content, chr(10) || '---' || chr(10))[2] AS body FROM edited),
+w AS (SELECT path, list_filter({_words('body')}, lambda x: x IS NOT NULL) AS words, len(string_split(body, chr(10) || '## ')) AS chunks FROM bodies),
+found AS (SELECT DISTINCT e.path AS source_path, 'conv/' || (c.conv_id + c.turn + 1) || '.md' AS target_path, c.turn AS turn FROM edited e JOIN conversations c USING (conv_id)),
+l AS (SELECT source_path, count(*) AS n FROM found WHERE target_path IN (SELECT path FROM edited) GROUP BY source_path)
+SELECT w.path, len(words)::BIGINT AS dl_body, len(words)::BIGINT AS places, len(list_distinct(words))::BIGINT AS terms, chunks::BIGINT AS chunks, coalesce(l.n, 0)::BIGINT AS links FROM w LEFT JOIN l ON l.source_path = w.path""")
+def refresh_tables(spark, d):
+    """What the postings, lengths, vectors and links hold of each note after two refreshes."""
+    store = _refreshed(spark, d)
+    body = store.table("postings").where("field = 'body'").groupBy("path").agg(F.sum(F.size("positions")).alias("places"), F.count("*").alias("terms"))
+    held = store.table("vectors").groupBy("path").agg(F.count_if(F.size("embedding") == 64).alias("chunks"))
+    out = store.table("links").groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("links"))
+    rows = store.table("lengths").select("path", F.col("dl_body").cast("long").alias("dl_body")).join(body, "path", "left").join(held, "path", "full").join(out, "path", "full")
+    return rows.select("path", "dl_body", "places", "terms", "chunks", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
+@query(f"WITH {REFRESHED} SELECT path, sha256(content) AS content_hash FROM edited")
+def watch_refresh(spark, d):
+    """The manifest after a watcher's first refresh and a tick that finds the notes edited."""
+    base, seen = _dated(spark, d), []
+    engine = Engine(spark, "", Config().validated(), HashingEmbedder(), _scratch(spark))
+    engine.scan = lambda: _edited(base) if engine.store.version() else base
+    watcher = watching.watch(engine, _scratch(spark), "1 second", seen.append)
+    while watcher.isActive and len(seen) < 2:
+        watcher.awaitTermination(1)
+    watcher.stop()
+    return engine.store.table("manifest")
+
+
+@query(f"""WITH {NOTES}, l AS (SELECT doc_id, path, 1 + doc_id % 7 AS a, 1 + doc_id % 7 + doc_id % 3 AS b, unnest(list_transform({LINES_OF.format('body')}, lambda x, i: {{'i': i, 'line': x}})) AS x FROM notes)
+SELECT path, a::INTEGER AS start_line, x.i::INTEGER AS line_no, x.line AS line, x.i BETWEEN a AND b AS is_match FROM l WHERE x.i BETWEEN a - 2 AND b + 2""")
 def context_window_lines(spark, d):
-    held = notes(spark, d)
-    return context_window(held.select("path", F.lit(3).alias("start_line"), F.lit(4).alias("end_line")), held, 2)
+    held, first = notes(spark, d), F.col("doc_id") % 7 + 1
+    return context_window(held.select("path", first.cast("int").alias("start_line"), (first + F.col("doc_id") % 3).cast("int").alias("end_line")), held, 2)
 
 
 @query(f"""WITH w AS (SELECT conv_id || '-' || turn AS path, unnest(list_filter({_words('text')}, lambda x: x IS NOT NULL)) AS word FROM conversations),

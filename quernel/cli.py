@@ -1,21 +1,22 @@
-"""Command line: index, search, list, get, watch, status, config."""
+"""Command line: index, search, list, get, watch, serve, status, config."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import os
-import tempfile
+import sys
 from collections import defaultdict
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 
-from .config import load, resolve_root
-from .functions.embed import Health, HashingEmbedder, HttpEmbedder, health
+from .config import global_file, load, registered_default, resolve_root
+from .functions.embed import Health, HashingEmbedder, HttpEmbedder, find_endpoint, health
 from .plans.engine import MODES, Engine
 from .sources import notes, render
-from .streaming.watch import watch
+from .server import serve
+from .streaming import watch as watching
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,12 +35,15 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--threshold", type=float)
     s.add_argument("-C", "--context", type=int, default=0)
     s.add_argument("--since")
+    s.add_argument("--strict", action="store_true", help="folders and tags hold for full-text hits too")
     s.add_argument("--json", action="store_true")
     x = sub.add_parser("list")
     x.add_argument("path", nargs="?", default="")
     x.add_argument("-r", "--recursive", action="store_true")
     sub.add_parser("get").add_argument("path")
-    sub.add_parser("watch")
+    w = sub.add_parser("watch")
+    w.add_argument("action", nargs="?", choices=("start", "stop", "status"), default="start")
+    sub.add_parser("serve")
     sub.add_parser("status")
     sub.add_parser("config").add_argument("--json", action="store_true")
     return p
@@ -47,8 +51,14 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    root = resolve_root(args.root, os.getcwd())
-    config = load(root)
+    root = resolve_root(args.root, os.getcwd(), global_file(), registered_default())
+    config = load(root, global_file(), None if args.offline or args.command in ("list", "get") else find_endpoint)
+    if args.command == "watch" and args.action != "start":
+        pid = watching.running(config)
+        if pid and args.action == "stop":
+            watching.stop(config)
+        print(f"watching, process {pid}" + (", told to stop" if args.action == "stop" else "") if pid else "not watching")
+        return 0
     if args.command == "config":
         shown = asdict(config)
         shown["embedding"]["api_key"] = "set" if config.embedding.api_key else None
@@ -62,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
             return 1
         print(engine.refresh(args.force))
     elif args.command == "search":
-        response = engine.search(args.query, args.limit, args.mode, args.folder, args.tag, args.exclude, args.threshold, args.since)
+        response = engine.search(args.query, args.limit, args.mode, args.folder, args.tag, args.exclude, args.threshold, args.since, strict=args.strict)
         if args.json:
             print(response.to_json())
         else:
@@ -77,8 +87,10 @@ def main(argv: list[str] | None = None) -> int:
         print(engine.get(args.path))
     elif args.command == "status":
         print(engine.call("status"))
+    elif args.command == "serve":
+        serve(engine, sys.stdin, sys.stdout)
     else:
-        watch(engine, tempfile.mkdtemp(), report=print).awaitTermination()
+        watching.run(engine, report=print)
     return 0
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -103,8 +105,24 @@ def _file(path: Path) -> dict | None:
         return None
 
 
-def load(root: str, global_file: str | None = None) -> Config:
-    """The settings of a note folder: environment over its file, over the global file, over defaults."""
+def global_file() -> str:
+    """Where a user's own settings are, for all folders."""
+    return os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "quernel", "config.toml")
+
+
+def registered_default() -> str | None:
+    """The note folder that state.json beside the global file names as default."""
+    try:
+        return json.loads((Path(global_file()).parent / "state.json").read_text()).get("default")
+    except (OSError, ValueError, AttributeError):
+        return None
+
+
+def load(root: str, global_file: str | None = None, probe: Callable[[], str | None] | None = None) -> Config:
+    """The settings of a note folder: environment over its file, over the global file, over defaults.
+
+    probe: finds the endpoint of a local server, asked where nothing names one.
+    """
     own = _file(Path(root) / DATA_DIR / "config.toml")
     found = merged(_file(Path(global_file)) if global_file else None, own)
     sections = found or {}
@@ -118,6 +136,8 @@ def load(root: str, global_file: str | None = None) -> Config:
             embedding[name] = int(value) if name == "dimensions" else value
     if embedding.get("provider", "ollama") not in PROVIDERS:
         embedding["provider"] = "custom"
+    if probe and not embedding.get("endpoint") and embedding.get("provider", "ollama") == "ollama" and (at := probe()):
+        embedding["endpoint"] = at
     return Config(
         root, Embedding(**embedding), Index(**known(Index, sections.get("index", {}))), Search(**known(Search, sections.get("search", {})))
     ).validated()

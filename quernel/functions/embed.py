@@ -37,7 +37,7 @@ class HashingEmbedder:
     batch_size = 512
 
     def __init__(self, dimensions: int = 64):
-        self.dimensions = dimensions
+        self.dimensions, self.name = dimensions, f"hashed words, {dimensions}"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
@@ -56,6 +56,7 @@ class HttpEmbedder:
 
     def __init__(self, settings: Embedding):
         self.settings, self.batch_size = settings, settings.batch_size
+        self.name, self.in_flight = f"{settings.provider}, {settings.model}, {settings.dimensions}", IN_FLIGHT
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out: list[list[float]] = []
@@ -109,8 +110,18 @@ def find_endpoint(host: str = "http://localhost") -> str | None:
     return None
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, parallelism: int = IN_FLIGHT) -> DataFrame:
-    """vectors of chunks; each request has a batch of them, across notes."""
+def name_of(embedder: Embedder) -> str:
+    """What model makes the vectors; the class's name where an embedder doesn't say."""
+    return getattr(embedder, "name", type(embedder).__name__)
+
+
+def embed_chunks(chunks: DataFrame, embedder: Embedder, parallelism: int | None = None) -> DataFrame:
+    """vectors of chunks; each request has a batch of them, across notes.
+
+    An embedder with ``in_flight`` gets so many tasks; others, that make their
+    vectors themselves, as many as the chunks have.
+    """
+    parallelism = parallelism or getattr(embedder, "in_flight", None)
     names = [x.split()[0] for x in VECTORS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,4 +136,4 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, parallelism: int = IN_FL
                 columns = [heading if n == "heading" else pa.array(found, pa.list_(pa.float32())) if n == "embedding" else part.column(n) for n in names]
                 yield pa.record_batch(columns, names)
 
-    return chunks.repartition(parallelism).mapInArrow(run, VECTORS)
+    return (chunks.repartition(parallelism) if parallelism else chunks).mapInArrow(run, VECTORS)

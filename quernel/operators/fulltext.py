@@ -8,8 +8,11 @@ of which only the partitions and rows of the query's words are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from ..functions.text import tokens
 from ..plans.query_language import FIELDS, Clause, Term, parse, terms
 
 K1, B = 1.2, 0.75
-#: Partitions of the stored index by word.
+#: Partitions of the index by word, where the store doesn't say.
 BUCKETS = 64
 
 
@@ -149,16 +152,38 @@ def search(docs: DataFrame, text: str, limit: int | None = 10, digits: int | Non
     return _top(placed(docs, query), query, statistics(docs, query), limit, digits)
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """field, term, path, positions, bucket of every word of every document."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(f, F.lit(""))).alias("words")) for f in FIELDS))
-    each = docs.select("path", F.explode(fields).alias("x")).select("path", "x.field", F.posexplode("x.words").alias("position", "term")).where("term IS NOT NULL")
-    grouped = each.groupBy("field", "term", "path").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return grouped.withColumn("bucket", bucket(F.col("term")))
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """field, term, path, positions of rows with a list of words for each field: sorted within a batch, no shuffle."""
+    for batch in batches:
+        for field in FIELDS:
+            words = batch.column(field)
+            sizes = np.diff(words.offsets.to_numpy())
+            row = np.repeat(np.arange(len(words)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            term = words.flatten()
+            kept = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
+            if not len(kept):
+                continue
+            coded = term.take(pa.array(kept)).dictionary_encode()
+            key = row[kept] * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            held = key[order]
+            start = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+            positions = pa.ListArray.from_arrays(pa.array(np.append(start, len(held)), pa.int32()), pa.array(place[kept][order], pa.int32()))
+            rows, codes = np.divmod(held[start], len(coded.dictionary))
+            columns = [pa.array([field] * len(start)), coded.dictionary.take(pa.array(codes)), batch.column("path").take(pa.array(rows)), positions]
+            yield pa.record_batch(columns, ["field", "term", "path", "positions"])
+
+
+def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """field, term, path, positions, bucket of every word of every document; words meet within their document's row."""
+    split = docs.select("path", *(tokens(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS))
+    grouped = split.mapInArrow(_grouped, "field string, term string, path string, positions array<int>")
+    return grouped.withColumn("bucket", bucket(F.col("term"), buckets))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -166,7 +191,7 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("path", "title", *(F.size(F.filter(tokens(F.coalesce(f, F.lit(""))), lambda t: t.isNotNull())).alias(f"dl_{f}") for f in FIELDS))
 
 
-def search_index(index: DataFrame, documents: DataFrame, text: str, limit: int | None = 10, digits: int | None = None) -> DataFrame:
+def search_index(index: DataFrame, documents: DataFrame, text: str, limit: int | None = 10, digits: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """As search, over stored postings and lengths.
 
     Words are looked up by bucket, so only their partitions of the index are
@@ -182,10 +207,10 @@ def search_index(index: DataFrame, documents: DataFrame, text: str, limit: int |
         if f != "path":
             wanted = wanted | ((F.col("field") == f) & _matches(F.col("term"), kind, words))
     found = index.where(wanted)
-    if exact and atoms:
+    if exact and atoms:  # the words themselves, so that files are read by bucket and row groups by word
         plain = sorted({w for _, kind, words in atoms for w in (words[:-2] if kind == "set" else words)})
-        hashes = index.sparkSession.range(1).select(F.explode(F.array(*(bucket(F.lit(w)) for w in plain))).alias("b")).distinct().collect()
-        found = found.where(F.col("bucket").isin([r.b for r in hashes]))
+        hashes = index.sparkSession.range(1).select(F.explode(F.array(*(bucket(F.lit(w), buckets) for w in plain))).alias("b")).distinct().collect()
+        found = found.where(F.col("bucket").isin([r.b for r in hashes]) & F.col("term").isin(plain))
     collected = [
         F.sort_array(F.flatten(F.collect_list(F.when((F.col("field") == f) & _matches(F.col("term"), kind, words), F.col("positions"))))).alias(f"p{n}")
         for n, (f, kind, words) in enumerate(atoms)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import file_title
+from ..sources.scratch import shared_folder
 
 #: Rows of a result whose neighbours are looked up.
 ROOTS = 5
@@ -46,11 +47,26 @@ def _step(frontier: DataFrame, pairs: DataFrame, seen: DataFrame, depth: int) ->
 
 
 def _walk(start: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
-    """path, depth of all nodes within ``depth`` steps, breadth first; each level's visited nodes are cut off."""
-    levels = [start.select("path", F.lit(0).alias("depth"))]
-    for d in range(1, depth + 1):
-        levels.append(_step(levels[-1], pairs, reduce(DataFrame.unionByName, levels), d))
-    return reduce(DataFrame.unionByName, levels)
+    """path, depth of all nodes within ``depth`` steps, breadth first.
+
+    Each level is checkpointed, to a folder that all nodes share, so a step
+    reads the levels before it and doesn't work them out again; a walk ends when
+    a level is empty.
+    """
+    spark = start.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    pairs = pairs.persist()
+    try:
+        levels = [start.select("path", F.lit(0).alias("depth"))]
+        for d in range(1, depth + 1):
+            level = _step(levels[-1], pairs, reduce(DataFrame.unionByName, levels), d).checkpoint()
+            levels.append(level)
+            if d < depth and level.isEmpty():
+                break
+        return reduce(DataFrame.unionByName, levels)
+    finally:
+        pairs.unpersist()
 
 
 def _one(links: DataFrame, path: str) -> DataFrame:

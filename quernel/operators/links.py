@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
@@ -51,8 +50,9 @@ def resolve(links: DataFrame, paths: DataFrame) -> DataFrame:
     """
     known = paths.select("path").distinct()
     file = F.element_at(F.split("path", "/"), -1)
-    order = W.partitionBy("file").orderBy(F.octet_length("path"), "path")
-    shortest = known.withColumn("file", file).withColumn("n", F.row_number().over(order)).where("n = 1").select("file", F.col("path").alias("by_name"))
+    # an aggregate, so that a name which many folders have is reduced before it is shuffled
+    first = F.min(F.struct(F.octet_length("path").alias("size"), "path"))
+    shortest = known.groupBy(file.alias("file")).agg(first.alias("x")).select("file", F.col("x.path").alias("by_name"))
     dotted = F.regexp_replace("target", r"\\", "/")
     named = F.when(dotted.endswith(".md"), dotted).otherwise(F.concat(dotted, F.lit(".md")))
     folder = _parent(F.col("source_path"))

@@ -36,8 +36,8 @@ def knn(vectors: DataFrame, query, limit: int, digits: int | None = None) -> Dat
     return scored(vectors, query, digits).orderBy(F.desc("score"), "path", "start_line").limit(limit)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", digits: int = 6) -> DataFrame:
-    """query_id, key, score, rank: the nearest rows of each query, by matrix products.
+def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", digits: int | None = None) -> DataFrame:
+    """query_id, key, score, rank: the nearest rows of each query, by matrix products; with ``digits``, of rounded scores.
 
     queries: query_id, embedding, any number of rows.  Blocks of about
     MOST_QUERIES by the id's hash take one pass over ``vectors`` each.  Each batch
@@ -53,7 +53,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "ve
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, limit: int, key: str, digits: int) -> DataFrame:
+def _nearest(vectors: DataFrame, queries: DataFrame, limit: int, key: str, digits: int | None) -> DataFrame:
     """query_id, key, score: each batch's nearest rows of one block of queries."""
     rows = queries.select("query_id", "embedding").collect()  # about MOST_QUERIES
     unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
@@ -68,7 +68,8 @@ def _nearest(vectors: DataFrame, queries: DataFrame, limit: int, key: str, digit
             held, keys = unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64)), batch[key].to_numpy()
             for at in range(0, len(everyone), AT_ONCE):
                 ids = everyone[at : at + AT_ONCE]
-                score = np.round(held @ matrix[at : at + AT_ONCE].T, digits)
+                score = held @ matrix[at : at + AT_ONCE].T
+                score = score if digits is None else np.round(score, digits)
                 best = np.lexsort((np.broadcast_to(keys[:, None], score.shape), -score), axis=0)[:limit]
                 each = np.broadcast_to(np.arange(len(ids)), best.shape)
                 yield pd.DataFrame({"query_id": ids[each].ravel(), key: keys[best].ravel(), "score": score[best, each].ravel()})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Config, load
-from ..functions.embed import Embedder, HashingEmbedder, health
+from ..functions.embed import Embedder, HttpEmbedder, health, name_of
+from ..functions.text import csv_tags, has_all
 from ..operators import fulltext, graph, hybrid, vectors
 from ..operators.context import context_window
 from ..sources import notes as folder
@@ -29,13 +32,21 @@ class Response:
 
 
 class Engine:
+    """Search and upkeep over a note folder; vectors come from the configuration's endpoint if no embedder is given."""
+
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None, embedder: Embedder | None = None, store: str | None = None):
         self.spark, self.root, self.config = spark, root, config or load(root)
-        self.embedder = embedder or HashingEmbedder()
+        self.embedder = embedder or HttpEmbedder(self.config.embedding)
         self.store = Store(spark, store or self.config.index_path())
+        if store is None and not self.store.version():
+            self.store.migrate(os.path.join(root, self.config.index.data_dir))
+
+    def scan(self) -> DataFrame:
+        """The notes as they are now: path, modified, content."""
+        return folder.scan_notes(self.spark, self.root)
 
     def refresh(self, force: bool = False, **options) -> Stats:
-        return refresh(self.store, folder.scan_notes(self.spark, self.root), self.config, self.embedder, force, **options)
+        return refresh(self.store, self.scan(), self.config, self.embedder, force, **options)
 
     def query_vector(self, text: str) -> list[float] | None:
         """None where the embedder fails, which leaves full-text search."""
@@ -44,49 +55,68 @@ class Engine:
         except Exception:  # noqa: BLE001
             return None
 
-    def semantic(self, text: str, limit: int, folders: list[str] | None = None, tags: list[str] | None = None, prefilter: bool = False) -> DataFrame:
+    def semantic(self, text: str, limit: int, folders: list[str] | None = None, tags: list[str] | None = None, prefilter: bool = False, head: dict | None = None) -> DataFrame:
+        """Vector hits; none where the embedder fails, or where the index holds another model's vectors."""
+        head = head or self.store.head()
+        if head["model"] not in (None, name_of(self.embedder)):
+            warnings.warn(f"the index has vectors of {head['model']}, not of {name_of(self.embedder)}; refresh it", stacklevel=2)
+            return self.spark.createDataFrame([], schemas.RESULTS)
         query = self.query_vector(text)
         if query is None:
             return self.spark.createDataFrame([], schemas.RESULTS)
-        return vectors.semantic(self.store.table("vectors"), query, limit, folders, tags, prefilter)
+        return vectors.semantic(self.store.table("vectors", head), query, limit, folders, tags, prefilter)
 
-    def fts(self, text: str, limit: int) -> DataFrame:
-        hits = fulltext.search_index(self.store.table("postings"), self.store.table("lengths"), text, limit)
+    def fts(self, text: str, limit: int | None, head: dict | None = None) -> DataFrame:
+        head = head or self.store.head()
+        hits = fulltext.search_index(self.store.table("postings", head), self.store.table("lengths", head), text, limit, buckets=head["buckets"])
         return hybrid.fts_results(hits)
 
     def search(
         self, text: str, limit: int | None = None, mode: str = "hybrid", folders: list[str] | None = None, tags: list[str] | None = None,
         exclude: list[str] | None = None, threshold: float | None = None, since: str | None = None, prefilter: bool = False, strict: bool = False,
     ) -> Response:
-        """Results and linked notes.
+        """Results and linked notes, all of one version of the index.
 
-        Folders and tags hold for vector hits only, unless ``strict``; exclude,
-        threshold and since look at the final results and not at linked notes.
+        Folders and tags hold for vector hits only; with ``strict`` for full-text
+        hits too.  Exclude, threshold and since look at the final results and
+        not at linked notes.
         """
         if mode not in MODES:
             raise ValueError(f"mode {mode} isn't one of {', '.join(MODES)}")
         limit = self.config.search.default_limit if limit is None else limit
+        head = self.store.head()
         linked = self.spark.createDataFrame([], schemas.LINKED)
-        if mode == "fts":
-            results = self.fts(text, limit)
-        elif mode == "semantic":
-            results = self.semantic(text, limit, folders, tags, prefilter)
+        if mode == "semantic":
+            results = self.semantic(text, limit, folders, tags, prefilter, head)
         else:
-            found = self.fts(text, 2 * limit)
-            if strict and folders is not None:
-                found = hybrid.exclude(found, []).where(hybrid.starts_with_any(F.col("path"), folders))
-            results = hybrid.merge(self.semantic(text, 2 * limit, folders, tags, prefilter), found, limit, self.config.search)
-            # a few rows, used by every later step
-            results = self.spark.createDataFrame(results.collect(), schemas.RESULTS)
-            linked = graph.linked_notes(graph.ranked(results), self.store.table("links"))
+            narrowed = strict and (folders is not None or tags is not None)
+            found = self.fts(text, limit if mode == "fts" else 2 * limit, head)
+            if narrowed:
+                found = self._within(found, folders, tags, head)
+            if mode == "fts":
+                results = found
+            else:
+                results = hybrid.merge(self.semantic(text, 2 * limit, folders, tags, prefilter, head), found, limit, self.config.search)
+                # a few rows, used by every later step
+                results = self.spark.createDataFrame(results.collect(), schemas.RESULTS)
+                linked = graph.linked_notes(graph.ranked(results), self.store.table("links", head))
         if exclude:
             results = hybrid.exclude(results, exclude)
         if threshold is not None:
             results = hybrid.threshold(results, threshold)
         if since:
-            results = hybrid.since(results, self.store.table("notes"), since)
+            results = hybrid.since(results, self.store.table("notes", head), since)
         return Response(results, linked)
 
+    def _within(self, found: DataFrame, folders: list[str] | None, tags: list[str] | None, head: dict) -> DataFrame:
+        """Full-text hits in the folders whose notes have the tags."""
+        if folders is not None:
+            found = found.where(hybrid.starts_with_any(F.col("path"), folders))
+        if tags is not None:
+            tagged = self.store.table("notes", head).where(has_all(csv_tags(F.col("tags")), tags)).select("path")
+            found = found.join(tagged, "path", "left_semi").select(found.columns)
+        return found
+
     def context(self, results: DataFrame, around: int) -> DataFrame:
         """The lines around each hit, in the whole note's numbering."""
         offset = self.store.table("vectors").select("path", "body_line_offset").distinct()
@@ -104,8 +134,9 @@ class Engine:
 
     def register(self, prefix: str = "") -> None:
         """The index's tables as views, for SQL."""
+        head = self.store.head()
         for name in ("notes", "vectors", "postings", "lengths", "links", "manifest"):
-            self.store.table(name).createOrReplaceTempView(prefix + name)
+            self.store.table(name, head).createOrReplaceTempView(prefix + name)
 
     def status(self) -> dict:
         e = self.config.embedding

@@ -21,6 +21,8 @@ from ..schemas import NOTES
 
 # Folders that are never looked into.
 EXCLUDED = (".obsidian", ".git", ".trash", "node_modules", ".smart-connections", ".vault-mcp")
+#: Notes that a task reads.
+FILES = 256
 ENTRIES = "name string, is_dir boolean, path string"
 
 
@@ -70,16 +72,27 @@ def scan_notes(spark: SparkSession, root: str, partitions: int | None = None) ->
     if re.match(r"\w[\w+.-]+://", root):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
         path = F.substring_index("path", F.lit(root.split("://", 1)[1].strip("/") + "/"), -1)
-        kept = files.select(path.alias("path"), F.col("path").alias("abs_path"), F.col("modificationTime").alias("modified"), "length", F.decode("content", F.lit("UTF-8")).alias("content"))
-        return kept.where(~F.arrays_overlap(F.split("path", "/"), F.lit(list(EXCLUDED))))
+        return notes_of(files.select(path.alias("path"), F.col("path").alias("abs_path"), F.col("modificationTime").alias("modified"), "length", F.decode("content", F.lit("UTF-8")).alias("content")))
     rows = _files(root)
     listed = spark.createDataFrame(rows, "path string, abs_path string, modified timestamp, length bigint")
-    return listed.repartition(partitions or max(1, min(len(rows), 64)), "path").mapInArrow(_contents, NOTES)
+    return listed.repartition(partitions or max(1, -(-len(rows) // FILES)), "path").mapInArrow(_contents, NOTES)
+
+
+def notes_of(files: DataFrame) -> DataFrame:
+    """The files (with a column path, below the folder) that are notes: .md files that no excluded folder holds."""
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    return files.where(name.endswith(".md") & (name != ".md") & ~F.arrays_overlap(parts, F.lit(list(EXCLUDED))))
+
+
+def find_note(notes: DataFrame, path: str) -> DataFrame:
+    """path, content of the scanned note of that path; none for a path that leads out of the folder."""
+    return notes.where(F.col("path") == path).select("path", "content")
 
 
 def get_note(notes: DataFrame, path: str) -> str:
     """A note's text, looked up among the scanned ones, so that no path leads out of the folder."""
-    row = notes.where(F.col("path") == path).select("content").first()
+    row = find_note(notes, path).first()
     if row is None:
         raise FileNotFoundError(path)
     return row.content

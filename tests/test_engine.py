@@ -44,7 +44,7 @@ def test_scan_list_get(spark, root):
 
 
 def test_refresh_search_and_tools(spark, root):
-    engine = Engine(spark, str(root), Config(str(root)).validated())
+    engine = Engine(spark, str(root), Config(str(root)).validated(), HashingEmbedder())
     first = engine.refresh()
     assert (first.total_files, first.indexed, first.skipped, first.deleted) == (5, 5, 0, 0) and first.graph_edges == 2
     assert engine.refresh().skipped == 5
@@ -57,7 +57,7 @@ def test_refresh_search_and_tools(spark, root):
     def tables(e):
         return {n: sorted(map(str, e.store.table(n).drop("modified").collect())) for n in ("notes", "manifest", "vectors", "postings", "lengths", "links")}
 
-    fresh = Engine(spark, str(root), engine.config, store=f"file://{root}/.vault-mcp/other")
+    fresh = Engine(spark, str(root), engine.config, HashingEmbedder(), store=f"file://{root}/.vault-mcp/other")
     fresh.refresh()
     assert tables(engine) == tables(fresh)
     assert tables(engine) == (engine.refresh(force=True), tables(engine))[1]
@@ -93,7 +93,7 @@ def nowhere():
 
 
 def test_without_an_embedder_full_text_is_left(spark, root):
-    engine = Engine(spark, str(root), Config(str(root)).validated())
+    engine = Engine(spark, str(root), Config(str(root)).validated(), HashingEmbedder())
     engine.refresh()
     engine.embedder = nowhere()
     assert {r.match_type for r in engine.search("pasta").results.collect()} == {"fts"}
@@ -104,7 +104,7 @@ def test_without_an_embedder_full_text_is_left(spark, root):
 
 
 def test_other_dimensions_force_a_rebuild(spark, root):
-    engine = Engine(spark, str(root), Config(str(root)).validated())
+    engine = Engine(spark, str(root), Config(str(root)).validated(), HashingEmbedder())
     engine.refresh()
     engine.embedder = HashingEmbedder(16)
     assert engine.refresh().indexed == 5
