@@ -9,7 +9,7 @@ from .common import drop_stored, spread_join, stored
 
 
 #: Links of a file; links of a node beyond which they are dealt into parts.
-EDGES, HUB = 250_000, 20_000
+EDGES, HUB = 250_000, 512
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
