@@ -17,9 +17,9 @@ from quernel.streaming.watch import watch
 @pytest.fixture
 def root(tmp_path):
     files = {
-        "rust.md": "---\ntitle: Rust\ntags: [Code]\n---\nRust is a systems language.\nSee [[guide]].\n",
-        "wiki/guide.md": "# Guide\nHow to write safe code.\n",
-        "wiki/food.md": "Pasta and rice.\n[[rust]]\n",
+        "elm.md": "---\ntitle: Elm\ntags: [Tree]\n---\nThe elm grows by rivers.\nSee [[bark]].\n",
+        "wiki/bark.md": "# Bark\nHow to tell rough bark.\n",
+        "wiki/soup.md": "Barley and leeks.\n[[elm]]\n",
         ".obsidian/x.md": "hidden", "wiki/node_modules/y.md": "hidden", "_kept.md": "kept", "note.txt": "no",
     }
     for name, text in files.items():
@@ -32,14 +32,14 @@ def root(tmp_path):
 
 def test_scan_list_get(spark, root):
     found = notes.scan_notes(spark, str(root))
-    assert {r.path for r in found.collect()} == {"rust.md", "wiki/guide.md", "wiki/food.md", "_kept.md", "bad.md"}
+    assert {r.path for r in found.collect()} == {"elm.md", "wiki/bark.md", "wiki/soup.md", "_kept.md", "bad.md"}
     assert found.where("path = 'bad.md'").first().content == ""
-    assert notes.get_note(found, "wiki/food.md").startswith("Pasta")
+    assert notes.get_note(found, "wiki/soup.md").startswith("Barley")
     with pytest.raises(FileNotFoundError):
         notes.get_note(found, "../secret.md")
-    assert {r.path for r in notes.list_folder(spark, str(root), "wiki").collect()} == {"wiki/guide.md", "wiki/food.md"}
+    assert {r.path for r in notes.list_folder(spark, str(root), "wiki").collect()} == {"wiki/bark.md", "wiki/soup.md"}
     assert notes.list_folder(spark, str(root), "..").count() == 0 and notes.list_folder(spark, str(root), "none").count() == 0
-    assert notes.listing(notes.list_folder(spark, str(root), "wiki")).startswith("2 entries:\n      wiki/food.md")
+    assert notes.listing(notes.list_folder(spark, str(root), "wiki")).startswith("2 entries:\n      wiki/soup.md")
     assert notes.list_folder(spark, str(root), recursive=True).count() == 7
 
 
@@ -48,9 +48,9 @@ def test_refresh_search_and_tools(spark, root):
     first = engine.refresh()
     assert (first.total_files, first.indexed, first.skipped, first.deleted) == (5, 5, 0, 0) and first.graph_edges == 2
     assert engine.refresh().skipped == 5
-    (root / "rust.md").write_text("Rust changed. [[food]]")
+    (root / "elm.md").write_text("Elm changed. [[soup]]")
     os.remove(root / "_kept.md")
-    (root / "new.md").write_text("About pasta. [[rust]]")
+    (root / "new.md").write_text("About barley. [[elm]]")
     again = engine.refresh()
     assert (again.total_files, again.indexed, again.skipped, again.deleted) == (5, 2, 3, 1)
 
@@ -62,15 +62,15 @@ def test_refresh_search_and_tools(spark, root):
     assert tables(engine) == tables(fresh)
     assert tables(engine) == (engine.refresh(force=True), tables(engine))[1]
 
-    response = engine.search("pasta rust", 3)
+    response = engine.search("barley elm", 3)
     assert response.results.first().match_type == "hybrid"
     assert set(json.loads(response.to_json())) == {"results", "linked_notes"}
-    assert engine.search("pasta", mode="fts").results.count() == 2
-    assert engine.search("pasta", mode="semantic", exclude=["wiki"], limit=2).results.where("path LIKE 'wiki%'").count() == 0
-    assert engine.search("pasta", since="2001-01-01").results.count() > 0 and engine.search("pasta", since="2999-01-01").results.count() == 0
-    lines = engine.context(engine.search("guide safe code", 1).results, 1).collect()
+    assert engine.search("barley", mode="fts").results.count() == 2
+    assert engine.search("barley", mode="semantic", exclude=["wiki"], limit=2).results.where("path LIKE 'wiki%'").count() == 0
+    assert engine.search("barley", since="2001-01-01").results.count() > 0 and engine.search("barley", since="2999-01-01").results.count() == 0
+    lines = engine.context(engine.search("bark rough tell", 1).results, 1).collect()
     assert any(x.is_match for x in lines)
-    assert json.loads(engine.call("search", query="pasta", mode="fts"))[0]["match_type"] == "fts"
+    assert json.loads(engine.call("search", query="barley", mode="fts"))[0]["match_type"] == "fts"
     assert "empty" in engine.call("search", query=" ") and "Unknown mode" in engine.call("search", query="x", mode="y") and "Unknown command" in engine.call("fly")
     assert engine.call("get", path="new.md").startswith("About") and "graph_nodes" in engine.call("status")
     text = to_text(response.results.collect(), response.linked_notes.collect())
@@ -96,8 +96,8 @@ def test_without_an_embedder_full_text_is_left(spark, root):
     engine = Engine(spark, str(root), Config(str(root)).validated(), HashingEmbedder())
     engine.refresh()
     engine.embedder = nowhere()
-    assert {r.match_type for r in engine.search("pasta").results.collect()} == {"fts"}
-    assert engine.search("pasta", mode="semantic").results.count() == 0
+    assert {r.match_type for r in engine.search("barley").results.collect()} == {"fts"}
+    assert engine.search("barley", mode="semantic").results.count() == 0
     with pytest.raises(Exception, match="refused"):
         engine.refresh(force=True)
     assert engine.store.version() == 1  # the old snapshot stays
