@@ -70,6 +70,7 @@ class Item:
 
     def __post_init__(self):
         self.held = frozenset(self.words)
+        self.again, self.least = len(self.words) - len(self.held), WITH_ANSWER * len(self.words)
 
     @classmethod
     def of(cls, item_id: int | None, text: str) -> Item:
@@ -192,12 +193,14 @@ class Space:
                 split = {t: words_of(texts[t])}
             words, share, answered = split[t], 0.0, False
             for a, b in _joined(spans, len(item.words)):
+                # a common subsequence has each different word of the item that is here once, and its repeats at most
+                if len(item.held.intersection(words[a:b])) + item.again < item.least:
+                    continue
                 near = [w for w in words[a:b] if w in item.held]
-                if len(near) < WITH_ANSWER * len(item.words):  # no common subsequence is longer
+                if len(near) < item.least or (length := common_length(item.words, near)) < item.least:
                     continue
-                got = common_length(item.words, near) / len(item.words)
                 answer = common_length(item.answer, near) >= ANSWER * len(item.answer)
-                share, answered = max((share, answered), (got, answer))
+                share, answered = max((share, answered), (length / len(item.words), answer))
             if share >= ALONE or share >= WITH_ANSWER and answered:
                 out.append((t, i, cosine, share, answered))
         return out
