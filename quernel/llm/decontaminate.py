@@ -38,7 +38,7 @@ from .common import drop_stored, map_rows, rows_by_bytes, small_batches, stored,
 RANK, EXTRA, COLUMNS, BLOCK_ITEMS = 256, 16, 1 << 15, 20_000
 WORDS = 32
 #: Cosine of a candidate; share of an item's words in order that tells alone; share that tells together with the answer.
-COSINE, ALONE, WITH_ANSWER, ANSWER = 0.3, 0.7, 0.5, 0.8
+COSINE, ALONE, WITH_ANSWER, ANSWER = 0.25, 0.7, 0.5, 0.8
 #: In an item of fewer than LONG words, of which chance can put half into a passage, an answer of fewer than SHORT words is
 #: replaced by so many words at the item's end.
 SHORT, LONG = 8, 24
