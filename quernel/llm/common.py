@@ -58,19 +58,47 @@ def stored(df: DataFrame, name: str, codec: str = "none") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for scope in _SCOPES:
+        scope.paths.append(path)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]  for drop_stored
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Deletes scratch tables that no later step reads."""
     for df in frames:
         if path := getattr(df, "_scratch", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+_SCOPES: list = []
+
+
+class Scratch:
+    """Deletes the scratch tables that were stored within, but those that are kept, once it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, *frames: DataFrame) -> None:
+        kept = {getattr(df, "_scratch", None) for df in frames}
+        self.paths = [p for p in self.paths if p not in kept]
+
+    def __enter__(self) -> Scratch:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.remove(self)
+        for path in self.paths:
+            _delete(self.spark, path)
 
 
 def named(name: str) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bag_minhash as bag
-from .common import columns_of, drop_stored, held, rows_by_bytes, small_batches, spread_join, stored, texts_of
+from .common import Scratch, columns_of, drop_stored, held, rows_by_bytes, small_batches, spread_join, stored, texts_of
 from .components import components
 
 #: Weighted Jaccard similarity of multisets of five-word shingles from which two texts are near copies.
@@ -191,7 +191,6 @@ def near_links(reps: DataFrame, texts_of_docs, least: float = LEAST) -> DataFram
     # the first round: every text of a band against the band's pivot
     pairs = stored(bands.where("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "pairs")
     tested = stored(_compared(pairs, texts), "tested")
-    used = [shared, texts, pairs]
     links, bounds = tested.where(F.col("similarity") >= least), None
     for pivots in PIVOTS[1:]:
         roots = components(links)
@@ -199,23 +198,19 @@ def near_links(reps: DataFrame, texts_of_docs, least: float = LEAST) -> DataFram
         if bounds is None:
             placed = stored(_several(stored(placed, "placed")).drop("size"), "placed")
             bounds = stored(_bounds(placed.select("doc").distinct(), texts), "bounds")
-            used.append(bounds)
         # a text with too many shingles of its own is like no other one, at all or in its band
         able = stored(placed.join(bounds.drop("parts"), "doc").where(F.col("s") >= least * F.col("n")), "able")
         opened = _several(able, least)
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         met = _met(opened.join(bounds.select("doc", "parts"), "doc"), pivots, least)
         fresh = stored(met.join(done, ["a", "b"], "left_anti"), "pairs")
-        used += [roots, able, opened, fresh]
         if fresh.isEmpty():
             if pivots is None or opened.isEmpty():
                 break
             continue
         tested = tested.unionByName(stored(_compared(fresh, texts), "tested"))
         links = tested.where(F.col("similarity") >= least)
-    links = stored(links.select("a", "b"), "links")
-    drop_stored(bands, *used)
-    return links
+    return links.select("a", "b")
 
 
 def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -239,13 +234,16 @@ def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
         found = texts_of(docs).withColumnRenamed("doc_id", "doc").join(keyed, "doc").mapInArrow(_own, "doc long, text string")
         return found.dropDuplicates(["doc"])
 
-    links = near_links(reps.select("doc", "bands"), texts_of_docs, least)
-    classes = reps.select("key", "doc", "n", F.col("doc").alias("root"))
-    if links is not None:
-        roots = components(links).select(F.col("node").alias("doc"), "root")
-        classes = reps.select("key", "doc", "n").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    # a node's root is the smallest doc_id of its class
-    classes = stored(classes.select("key", "n", F.col("root").alias("class_id")), "classes")
+    with Scratch(docs.sparkSession) as scratch:
+        links = near_links(reps.select("doc", "bands"), texts_of_docs, least)
+        classes = reps.select("key", "doc", "n", F.col("doc").alias("root"))
+        if links is not None:
+            roots = components(links).select(F.col("node").alias("doc"), "root")
+            classes = reps.select("key", "doc", "n").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        # a node's root is the smallest doc_id of its class
+        classes = stored(classes.select("key", "n", F.col("root").alias("class_id")), "classes")
+        scratch.keep(classes)
+    drop_stored(reps)
     total = classes.groupBy("class_id").agg(F.sum("n").alias("class_size"))
     of_key = spread_join(classes.select("key", "class_id"), total, "class_id", "key", ROWS)
     counts = classes.select("key", F.col("n").alias("count"))

@@ -1,7 +1,8 @@
 """Token counts (operator 6): Arrow batches in, lengths out.
 
 Batches are dealt anew by bytes of text rather than by rows, long texts are
-split at safe boundaries, and only lengths leave the worker.
+split at safe boundaries where the tokenizer has any, and only lengths leave the
+worker.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_by_bytes, small_batches, texts_of
-from .word_pieces import length_encoder, pieces_of, segments, tokenizer_path
+from .word_pieces import length_encoder, tokenizer_path
 
 #: Bytes of text that are worked on at once.
 BATCH_BYTES = 1 << 20
@@ -31,7 +32,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = length_encoder(tokenizer_path(tokenizer))
         for ids, texts in rows_by_bytes(batches, BATCH_BYTES):
-            parts = [[pieces_of(part) for part in segments(t)] for t in texts]
+            parts = [encoder.pieces(t) for t in texts]
             encoder.encode_batch(set().union(*(p for t in parts for p in t)))
             lengths = [sum(sum(map(encoder.__getitem__, p)) for p in t) for t in parts]
             yield pa.record_batch(

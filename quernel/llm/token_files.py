@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import rows_by_bytes, scratch_path, small_batches, texts_of
 from .perfect_hash import BLOCK, LEVEL, PerfectHash, Rows, mix, unmixed
-from .word_pieces import id_encoder, id_type, segments, tokenizer_path
+from .word_pieces import id_encoder, id_type, tokenizer_path
 
 MAGIC, INDEX_MAGIC = b"QNLIDS01", b"QNLIDX02"
 #: records, records without a key, keys, keys in levels, levels, blocks, keys beyond the levels.
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
                 stream.write(MAGIC)
             for text in texts:
                 size = 0
-                for part in segments(text):
+                for part in encoder.pieces(text):
                     size += stream.write(data := b"".join(encoder.values(part))) or len(data)
                 stream.write(end)
                 lengths.append((size + len(end)) // dtype.itemsize)

@@ -3,7 +3,9 @@
 Such a tokenizer never joins characters across a space or a line feed, so these
 two are safe boundaries: a text's ids are those of its pieces, one after the
 other.  Distinct pieces are encoded once per worker and memoised under a fixed
-bound; a text is never cut anywhere else, and no part of it is left out.
+bound; a text is never cut anywhere else, and no part of it is left out.  Samples
+tell at load whether a tokenizer is of this kind; texts of another kind are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ LONGEST_KEPT = 256
 #: Distinct pieces kept by a worker, twice this at most.
 KEPT = 500_000
 SAMPLES = ("a", "the", "tion", "onthat", "encyclopedias", "zqxjkv", "s", "ll", "mnbvcxzasdf" * 5)
+#: Texts whose ids show whether a tokenizer may be given pieces, and cores and marks apart.
+SPACED = ("a b", "the  quick\nbrown \n fox", " lead and trail ", "Don't stop, now. 3.5 and 1,000 É", "\t tab\r\nline")
+MARKED = ("Word,", "WORD.", "x9,", "Ab.", "CamelCase.", "Don't,", "100.")
 #: Marks that may follow a word.
 TAILS = (",", ".")
 #: A text longer than this is worked on in segments.
@@ -90,8 +95,11 @@ class PieceEncoder(dict):
         self.value_of = value_of(self.tokenizer)
         self.old: dict = {}
         self.model = self.tokenizer.model.tokenize
+        # white space ends a word and has no ids of its own
+        self.spaced = all(self.ids(t) == [i for p in pieces_of(t) for i in self.ids(p)] for t in SPACED) and not self.ids(" ")
+        self.marked = self.spaced and all(self.ids(p) == [*self.ids(c), *self.ids(t)] for p in MARKED for c, t in [parted(p)])
         # a lower-case ASCII word needs no normalisation and no split, if these show that it is so
-        self.direct = all([t.id for t in self.model(w)] == self.ids(w) for w in SAMPLES)
+        self.direct = self.spaced and all([t.id for t in self.model(w)] == self.ids(w) for w in SAMPLES)
         self.tails = {t: self.encode(t) for t in TAILS}
 
     def ids(self, piece: str) -> list[int]:
@@ -102,15 +110,22 @@ class PieceEncoder(dict):
             return self.value_of([t.id for t in self.model(piece)])
         return self.value_of(self.ids(piece))
 
+    def parted(self, piece: str) -> tuple[str, str]:
+        return parted(piece) if self.marked else (piece, "")
+
+    def pieces(self, text: str) -> list[list[str]]:
+        """The pieces of a text, segment by segment; the text itself if it can't be cut."""
+        return [pieces_of(part) for part in segments(text)] if self.spaced else [[text]]
+
     def encode_batch(self, pieces: set[str]) -> None:
         """Encodes those of ``pieces`` that aren't held, as one batch."""
-        todo = list({c for p in pieces if p not in self for c in [parted(p)[0]] if len(c) <= LONGEST_KEPT and c not in self and c not in self.old})
+        todo = list({c for p in pieces if p not in self for c in [self.parted(p)[0]] if len(c) <= LONGEST_KEPT and c not in self and c not in self.old})
         for piece, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
             self[piece] = self.value_of(e.ids)
 
     def __missing__(self, piece: str):
         """The value of a piece that isn't held, by way of its core."""
-        core, tail = parted(piece)
+        core, tail = self.parted(piece)
         value = self.get(core)
         if value is None and (value := self.old.get(core)) is None:
             value = self.encode(core)
@@ -125,9 +140,9 @@ class PieceEncoder(dict):
             value = value + self.tails[tail]
         return value
 
-    def values(self, text: str) -> list:
-        """The values of a segment's pieces, in order."""
-        return list(map(self.__getitem__, pieces_of(text)))
+    def values(self, pieces: list[str]) -> list:
+        """The values of pieces, in order."""
+        return list(map(self.__getitem__, pieces))
 
 
 def id_type(tokenizer) -> np.dtype:

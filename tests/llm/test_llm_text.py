@@ -41,6 +41,12 @@ def test_token_counts(docs):
     assert token_counts(docs.where("false")).count() == 0
 
 
+def test_counts_of_a_tokenizer_that_keeps_spaces(docs):
+    library = load_tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    want = Counter((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts(docs, "byte_bpe_50k.json").collect()) == want
+
+
 def test_segments_are_the_text():
     text = "ab cd\nef " * 50
     parts = list(segments(text, 20))
