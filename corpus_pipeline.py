@@ -11,10 +11,9 @@ their lines and have no near copies; an empty table stays empty.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quernel.llm.bpe import bpe_tokens
-from quernel.llm.common import stored, table
+from quernel.llm.common import Scratch, drop_stored, stored, table
 from quernel.llm.decontaminate import drop_contaminated
 from quernel.llm.language_id import keep_identified
 from quernel.llm.line_dedup import dedup_lines
@@ -63,5 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", "snappy")
+        before = docs
+        with Scratch(spark) as scratch:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", "snappy")
+            scratch.keep(docs)
+        drop_stored(before)  # what the stage before it left
     return STAGES[-1][1](spark, docs, sf_dir)
