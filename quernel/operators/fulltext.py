@@ -144,12 +144,34 @@ def _top(rows: DataFrame, query: Clause, stats: dict, limit: int | None, digits:
     return out if limit is None else out.orderBy(F.desc("score"), "path").limit(limit)
 
 
+def _holding(query: Clause) -> Column | None:
+    """A condition that every match meets and that needs no words, if there is one: some searched word's letters are in the text."""
+
+    def any_of(part) -> set[str] | None:
+        if not isinstance(part, Clause):
+            if part.kind not in ("phrase", "prefix", "set") or "path" in part.fields or not part.words:
+                return None
+            words = part.words if part.kind == "set" else part.words[:1]
+            return set(words) if all(w.isascii() for w in words) else None
+        found = [any_of(p) for p in (part.must or part.may)]
+        if part.must:  # one of them will do
+            return next((f for f in found if f), None)
+        return set().union(*found) if found and all(found) else None
+
+    words = any_of(query)
+    if not words:
+        return None
+    lowered = [F.lower(F.coalesce(f, F.lit(""))) for f in FIELDS]
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in sorted(words) for text in lowered])
+
+
 def search(docs: DataFrame, text: str, limit: int | None = 10, digits: int | None = None) -> DataFrame:
     """path, title, score of the best documents (path, title, body, tags) for a query; all if limit is None."""
     query = parse(text)
     if limit == 0:
         return docs.select("path", "title", F.lit(0.0).alias("score")).where("false")
-    return _top(placed(docs, query), query, statistics(docs, query), limit, digits)
+    stats, holding = statistics(docs, query), _holding(query)
+    return _top(placed(docs if holding is None else docs.where(holding), query), query, stats, limit, digits)
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
